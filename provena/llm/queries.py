@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from provena.llm import exact_dedup, mixing, packing, secrets
+from provena.llm import exact_dedup, fingerprints, html_text, mixing, packing, quality, secrets, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mix_to_targets": mixing.op4_mix_to_targets,
         "op5_pack": packing.op5_pack,
+        "op7_main_text": html_text.op7_main_text,
+        "op8_quality": quality.op8_quality,
+        "op9_fingerprint": fingerprints.op9_fingerprint,
     }
 
 
