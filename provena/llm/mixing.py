@@ -25,6 +25,8 @@ DIMS = ("source", "lang", "topic")
 #: Targets that are not given temper the natural shares: share ** TEMPER, normalised.
 TEMPER = 0.85
 MAX_ROUNDS, TOLERANCE = 40, 1e-6
+#: Rounds end when one leaves more than this part of the gap that was there before.
+STALLED = 0.995
 SEED = 17
 
 
@@ -79,6 +81,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     total = full.agg(F.sum("tokens")).first()[0] or 0.0
     goal = {d: materialise(_targets(full, d, (targets or {}).get(d)), f"target-{d}") for d in DIMS}
     state = full.withColumn("weight", F.col("tokens"))
+    last = float("inf")
     for _ in range(MAX_ROUNDS if total else 0):
         for d in DIMS:
             now = state.groupBy(d).agg(F.sum("weight").alias("now"))
@@ -89,8 +92,10 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         for d in DIMS[:-1]:  # the last was just met
             gap = state.groupBy(d).agg(F.sum("weight").alias("now")).join(goal[d], d).agg(F.max(F.abs(F.col("now") / F.lit(total) - F.col("share"))).alias("off"))
             off = gap if off is None else off.unionAll(gap)
-        if (off.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+        gap = off.agg(F.max("off")).first()[0] or 0.0
+        if gap < TOLERANCE or gap > STALLED * last:  # targets that the cells cannot meet together
             break
+        last = gap
     empty = cells.where("tokens <= 0").withColumn("weight", F.lit(0.0))
     return state.select(*DIMS, "tokens", "weight").unionByName(empty.select(*DIMS, "tokens", "weight"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import exact_dedup, fingerprints, html_text, mixing, packing, quality, secrets, substring_dedup
+from provena.llm import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, secrets, substring_dedup
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_main_text": html_text.op7_main_text,
         "op8_quality": quality.op8_quality,
         "op9_fingerprint": fingerprints.op9_fingerprint,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 

@@ -91,6 +91,10 @@ def test_mixing(spark, sf_dir):
     got = mixing.op4_mix_to_targets(spark, sf_dir).collect()
     assert len(got) == 200 and max(r.probability for r in got) == pytest.approx(1.0)
     assert all(r.kept for r in got if r.probability >= 1) and 0 < sum(r.kept for r in got) < 200
+
+
+def test_mixing_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 3)
     assert {str(r.doc_id) for r in mixing.mix(odd(spark)).collect()} == {str(x[0]) for x in ODD}
     assert mixing.mix(odd(spark).limit(0)).count() == 0
     assert mixing.keep_mixed(odd(spark)).columns == odd(spark).columns
