@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, secrets, substring_dedup
+from provena.llm import byte_dedup, exact_dedup, fingerprints, html_text, mixing, near_dedup, packing, quality, secrets, substring_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_mix_to_targets": mixing.op4_mix_to_targets,
         "op5_pack": packing.op5_pack,
+        "op6_byte_dedup": byte_dedup.op6_byte_dedup,
         "op7_main_text": html_text.op7_main_text,
         "op8_quality": quality.op8_quality,
         "op9_fingerprint": fingerprints.op9_fingerprint,

@@ -7,9 +7,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.runtime import plan_bytes, shuffle_partitions
+
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
+def batch_count(docs: DataFrame, batch_bytes: int) -> int:
+    """How many ranges give about ``batch_bytes`` of stored input each: 2 to 64 a shuffle partition.
+
+    The upper end also holds where the plan's size is not known.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    return max(2 * n, min(64 * n, plan_bytes(docs) // batch_bytes))
+
+
 def bounds(ids: DataFrame, column: str, ranges: int) -> np.ndarray:
     """At most ``ranges - 1`` increasing ids that cut the rows into about equal ranges."""
     at = [k / ranges for k in range(1, ranges)]

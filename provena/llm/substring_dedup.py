@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.buffers import blocks, mix, ngrams, row_of, string_buffer, word_hashes, words
-from provena.llm.ranges import HIGH, bounds, pack_sorted, range_of, unpack_sorted
-from provena.runtime import materialise, plan_bytes, scratch_path, ship, shuffle_partitions
+from provena.llm.ranges import HIGH, batch_count, bounds, pack_sorted, range_of, unpack_sorted
+from provena.runtime import materialise, scratch_path, ship, shuffle_partitions
 
 WINDOW = 13
 #: Input bytes of a batch, as stored.
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintInde
     ship(spark)
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    batches = max(2 * n, plan_bytes(docs) // BATCH_BYTES)
+    batches = batch_count(docs, BATCH_BYTES)
     cuts = bounds(rows.select("id"), "id", batches)
     buckets = index.buckets if index else n
     dealt = rows.withColumn("batch", range_of(F.col("id"), cuts)).repartition(n, "batch")
