@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm import induced
-from provena.llm.buffers import blocks, prefix, spans, string_buffer
+from provena.llm.buffers import blocks, mix, prefix, spans, string_buffer
 from provena.llm.ranges import batch_count, bounds, pack_sorted, range_of, unpack_sorted
 from provena.runtime import ship, shuffle_partitions
 
@@ -43,7 +43,7 @@ BATCH_BYTES = 4 << 20
 #: Bytes of tuples that a shard's queues hold before they go to disk.
 QUEUE_BYTES = 128 << 20
 #: Bytes of text that a shard sorts in one array; larger shards are cut by anchor.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 2 << 20
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +92,7 @@ class _Stretches:
             base = int(self.offsets[row])
             firsts.append(first + base)
             lasts.append(last + base)
-            anchors.append(grams[least[first]])
+            anchors.append(mix(grams[least[first]], 43))  # least hashes are small: spread them over the buckets
             digests.append(spans(pre, first, last + length, 41))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.first, self.last = join(firsts, np.int64), join(lasts, np.int64)
