@@ -210,35 +210,51 @@ def _induce(text, rising, runs, letters, seeds, seed_common, spill):
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names; its last name is unique and least."""
+def _doubling(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of a string of names by their first ``depth`` names at least."""
     rank, width, n = names.astype(np.int64), 1, len(names)
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-width] = rank[width:] + 1
-        order = np.lexsort((after, rank))
-        new = np.ones(n, np.int64)
-        new[0] = 0
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+        key = rank * (n + 1)
+        key[:-width] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1:
-            return order
+        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
         width *= 2
+        if width >= min(depth, n) or rank[order[-1]] == n - 1:
+            return order
+
+
+#: Characters below 2**9 are compared seven at a time.
+_BITS, _PACK = 9, 7
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of suffixes a[i] and b[i], up to ``cap``."""
+    """Common prefixes of suffixes a[i] and b[i], up to ``cap``; the end marker makes them differ."""
+    n = len(text)
+    wide = np.concatenate([text.astype(np.uint64), np.zeros(cap + _PACK, np.uint64)])
+    step, bits = (_PACK, _BITS) if int(text.max()) < 1 << _BITS else (1, 63)
+    packed = np.zeros(n + cap, np.uint64)
+    for k in range(step):
+        packed = (packed << np.uint64(bits)) | wide[k : k + n + cap]
     out = np.full(len(a), cap, np.int32)
     live = np.arange(len(a))
-    last = len(text) - 1
-    for k in range(cap):
-        same = (a[live] + k <= last) & (b[live] + k <= last)
-        same[same] = text[a[live[same]] + k] == text[b[live[same]] + k]
-        out[live[~same]] = k
-        live = live[same]
+    x, y = a.copy(), b.copy()
+    for at in range(0, cap, step):
+        off = packed[x] ^ packed[y]
+        stop = off != 0
+        if stop.any():
+            rest = off[stop]
+            same = np.zeros(len(rest), np.int32)
+            for k in range(1, step):
+                same += (rest >> np.uint64(bits * (step - k))) == 0
+            out[live[stop]] = np.minimum(at + same, cap)
+            go = ~stop
+            live, x, y = live[go], x[go], y[go]
         if not len(live):
             break
+        x += step
+        y += step
     return out
 
 
@@ -267,7 +283,7 @@ def suffix_array(text: np.ndarray, cap: int = 1 << 20, memory: int = 256 << 20,
     names = np.empty(n, np.int64)
     names[got[at]] = np.cumsum(~same) - 1
     if same.any():
-        seeds = lms[_doubling(names[lms])]
+        seeds = lms[_doubling(names[lms], cap)]  # an LMS substring is longer than a character
     else:
         seeds = got[at]
     seed_common = np.zeros(len(seeds), np.int32)
