@@ -163,3 +163,11 @@ def test_batches_keep_groups_whole(spark):
     rows = spark.createDataFrame([("p", k, n) for k, n in ((1, 40), (1, 30), (2, 20), (3, 200), (4, 10))], "packet string, sample long, size long")
     got = {r["sample"]: (r.batch, r.oversize) for r in retrieve.plan_batches(rows, "packet", "sample", "size", 100).collect()}
     assert got == {1: (0, False), 2: (0, False), 3: (1, True), 4: (2, False)}
+
+
+def test_scratch_tables_are_released(spark):
+    from provena import runtime
+
+    kept = runtime.materialise(spark.range(5), "scratch")
+    assert kept.count() == 5 and runtime.release(spark) >= 1
+    assert runtime.release(spark) == 0
