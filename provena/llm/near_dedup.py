@@ -5,12 +5,15 @@ PERMUTATIONS permutations both the minimum and the maximum are kept, so half the
 hash evaluations give a signature. Two permutations (four values) make a band;
 sets that agree in a band are candidates. Equal sets are one node from the start.
 
-Candidates are not all pairs of a bucket: each member is paired with the
-bucket's least node, links are confirmed on full sets, and only members that are
-still in different components are paired further, until no bucket has an
-untested pair left: buckets of at most SMALL members by all such pairs, larger
-ones by further centres and, once few stay apart, those against all members.
-Signatures rule out candidates far below the threshold before sets are moved.
+Candidates are not all pairs of a bucket. First each node is paired with one
+centre, the least node of most of its buckets, links are confirmed on full sets,
+and components are taken.
+Then, in buckets that still hold several components, the signatures and sizes of
+members of different components are compared in blocks inside the tasks, and
+the likeliest two partners of each member leave them to be confirmed, which join
+most of what belongs together. Last, members that still have likely partners
+travel with their sets, and all their pairs are confirmed inside the tasks. So
+every pair of a bucket is in one component already, or far apart, or confirmed.
 
 At similarity 0.8 a pair misses all 32 bands with probability (1 - 0.8**4)**32,
 about 4e-8.
@@ -37,11 +40,11 @@ from provena.runtime import materialise, ship
 
 PERMUTATIONS, PER_BAND = 64, 2
 BANDS = PERMUTATIONS // PER_BAND
-#: Buckets of at most so many members are paired in full (where components differ).
-SMALL = 24
 #: Candidates whose signatures agree in a smaller share are no links: at a similarity
-#: of 0.8 the share is below this with probability 1e-8 (128 values, deviation 0.035).
-LIKELY = 0.6
+#: of 0.8 the share is below this with probability 1e-6 (128 values, deviation 0.035).
+LIKELY = 0.64
+#: Members of a bucket that one task compares; larger buckets are cut into pairs of blocks.
+BLOCK = 2048
 
 _SEEDS = mix(np.arange(2 * PERMUTATIONS, dtype=np.uint64), 23)
 
@@ -149,90 +152,175 @@ def _alike(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as sorted arrays, are alike enough."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = unpack_sorted(x.as_py()), unpack_sorted(y.as_py())
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            keep = [_is_link(unpack_sorted(x.as_py()), unpack_sorted(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+class _Block:
+    """Members of a bucket, or of two blocks of one: ``key`` is the bucket and the blocks, all rows share the band."""
+
+    def __init__(self, key, table, percent: int):
+        codes = {r: k for k, r in enumerate(sorted(set(table.column("root").to_pylist())))}
+        root = np.array([codes[r] for r in table.column("root").to_pylist()], np.int64)
+        self.order = np.argsort(root, kind="stable")
+        self.root = root[self.order]
+        column = lambda c: [table.column(c)[i].as_py() for i in self.order.tolist()]
+        self.node = column("node")
+        self.size = table.column("n_shingles").to_numpy()[self.order]
+        self.own = table.column("own").to_numpy()[self.order]
+        self.sig = np.array([np.frombuffer(x, np.uint16) for x in column("signature")]).reshape(len(self.node), -1)
+        self.bands = np.array(column("bands"), np.int64).reshape(len(self.node), -1)
+        self.band = table.column("band")[0].as_py()
+        self.same_block = key[1].as_py() == key[2].as_py()
+        self.percent = percent
+
+    def likely(self):
+        """For members outside the largest component: (member, partners in other components that sizes
+        and signatures allow to be links, likeliest first). A pair comes up in the first bucket it shares, once."""
+        root, size = self.root, self.size
+        largest = np.bincount(root).argmax()
+        for i in np.flatnonzero(root != largest).tolist():
+            fits = (root > root[i]) | (root == largest)
+            if not self.same_block:
+                fits &= self.own != self.own[i]
+            fits &= 100 * np.minimum(size, size[i]) >= self.percent * np.maximum(size, size[i])
+            near = np.flatnonzero(fits)
+            near = near[(self.bands[near] == self.bands[i]).argmax(axis=1) == self.band]
+            if len(near):
+                alike = (self.sig[near] == self.sig[i]).mean(axis=1)
+                best = np.argsort(-alike, kind="stable")
+                best = best[: int((alike >= LIKELY).sum())]
+                if len(best):
+                    yield i, near[best]
+
+
+def _pairs(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.binary())], names=["a", "b"])
+
+
+def _likeliest(percent: int, best: int):
+    """The ``best`` likeliest partners of each member."""
+
+    def run(key, table):
+        block = _Block(key, table, percent)
+        return _pairs([(block.node[i], block.node[j]) for i, near in block.likely() for j in near[:best].tolist()])
+
+    return run
+
+
+def _involved(percent: int):
+    """Members that have a likely partner or are one."""
+
+    def run(key, table):
+        block = _Block(key, table, percent)
+        used = np.zeros(len(block.node), bool)
+        for i, near in block.likely():
+            used[i] = True
+            used[near] = True
+        return table.take(pa.array(np.sort(block.order[used])))
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Links among all likely pairs of a block, on full sets; a pair that links found here have joined is passed over."""
+
+    def run(key, table):
+        block = _Block(key, table, percent)
+        members = [unpack_sorted(table.column("members")[i].as_py()) for i in block.order.tolist()]
+        up = {int(r): int(r) for r in set(block.root.tolist())}
+
+        def top(r):
+            while up[r] != r:
+                r = up[r]
+            return r
+
+        found = []
+        for i, near in block.likely():
+            for j in near.tolist():
+                x, y = top(int(block.root[i])), top(int(block.root[j]))
+                if x != y and _is_link(members[i], members[j], percent):
+                    up[x] = y
+                    found.append((block.node[i], block.node[j]))
+        return _pairs(found)
+
+    return run
+
+
 class _Graph:
     """Nodes, buckets and the links found so far."""
 
     def __init__(self, rows: DataFrame, docs: DataFrame, n: int, percent: int):
         self.percent = percent
-        self.nodes = materialise(
-            rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes"
-        )
-        buckets = self.nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+        nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        self.nodes = materialise(nodes, "nodes")
+        buckets = self.nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("key"))
+        buckets = materialise(buckets, "bands")
         stats = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count(F.lit(1)).alias("size")).where("centre != other").drop("other")
-        self.stats = materialise(stats, "buckets")
-        # members of buckets with more than one node; a hot bucket's rows are spread
-        self.members = materialise(salted_join(materialise(buckets, "bands"), self.stats, "key", "node"), "members")
+        stats = materialise(stats, "buckets")
+        # members of buckets with more than one node; both sides are plain tables, so a hot bucket's rows can be split at run time
+        self.members = materialise(buckets.join(stats.hint("merge"), "key"), "members")
         wanted = self.members.select("node").distinct().join(self.nodes.select("node", "label"), "node").select(F.col("label").alias("__label")).distinct()
         ids = F.coalesce(docs["doc_id"].cast("long"), F.lit(HIGH))
         texts = docs.select(ids.alias("__label"), docs["text"].alias("text")).join(wanted, "__label", "left_semi")
         found = texts.select("text").mapInArrow(_sets(n), "node binary, members binary")
         self.sets = materialise(found.dropDuplicates(["node"]), "sets")
-        self.links = None
-        self.tested = None
 
     def _attach(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(table.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}")), side)
         return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Confirm candidate pairs; true if any was new."""
+    def confirm(self, pairs: DataFrame, sift: bool) -> DataFrame:
+        """The candidate pairs that are links, by full sets."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        if sift:
+            pairs = self._attach(pairs, self.nodes, "signature").mapInArrow(_alike, "a binary, b binary")
         pairs = materialise(pairs, "pairs")
-        if not pairs.limit(1).count():
-            return False
-        self.tested = pairs if self.tested is None else self.tested.unionAll(pairs)
-        alike = materialise(self._attach(pairs, self.nodes, "signature").mapInArrow(_alike, "a binary, b binary"), "alike")
-        links = materialise(self._attach(alike, self.sets, "members").mapInArrow(_linked(self.percent), "a binary, b binary"), "links")
-        self.links = links if self.links is None else self.links.unionAll(links)
-        self.roots = materialise(components(self.links), "roots")
-        return True
+        return materialise(self._attach(pairs, self.sets, "members").mapInArrow(_linked(self.percent), "a binary, b binary"), "links")
+
+    def _open(self, roots: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, dealt to pairs of blocks."""
+        own = self.members.select("key", "band", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = materialise(own, "rooted")
+        mixed = materialise(own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key", F.lit(True).alias("open")), "mixed")
+        own = own.join(mixed.hint("merge"), "key").join(self.nodes.select("node", "n_shingles", "signature", "bands"), "node")
+        blocks_ = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = own.withColumn("own", F.pmod(F.xxhash64("node"), blocks_).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+        return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "root", "n_shingles", "signature", "bands", "own")
 
     def solve(self) -> DataFrame:
         """(node, component_id) of all nodes."""
-        self.roots = self.nodes.select("node", F.col("node").alias("root")).limit(0)
-        m = self.members
-        self.test(m.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-        centres = m.where(F.col("size") > SMALL).select("key", F.col("centre").alias("used")).distinct()
-        while True:
-            at = self.roots
-            own = m.join(at, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            # buckets whose members are still in several components
-            open_ = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-            own = materialise(own.join(open_, "key", "left_semi").select("key", "node", "root", "size"), "open")
-            small = own.where(F.col("size") <= SMALL)
-            x, y = small.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").where("a < b AND ra != rb").select("a", "b")
-            large = own.where(F.col("size") > SMALL)
-            used = centres.join(at.withColumnRenamed("node", "used"), "used", "left").select("key", F.coalesce("root", "used").alias("root")).distinct()
-            apart = large.join(used, ["key", "root"], "left_anti")  # in no used centre's component
-            left = apart.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("left"))
-            left = materialise(left, "left")
-            star = apart.join(left.where(F.col("left") > SMALL), "key").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-            few = apart.join(left.where(F.col("left") <= SMALL).select("key"), "key", "left_semi").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-            rest = few.join(large.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra != rb").select("a", "b")
-            more = left.where(F.col("left") > SMALL).select("key", F.col("centre").alias("used"))
-            if not self.test(pairs.unionAll(star).unionAll(rest)):
-                break
-            centres = materialise(centres.unionAll(more), "centres")
-        named = self.nodes.select("node", "label").join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # each node meets the one centre it shares most buckets with: a pair a node
+        shared = self.members.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n")).where("node != centre")
+        nearest = shared.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "centre"))["centre"].alias("centre"))
+        links = self.confirm(nearest.select(F.col("node").alias("a"), F.col("centre").alias("b")), True)
+        roots = materialise(components(links), "roots")
+        # the likeliest pairs first: they join most of what belongs together
+        likely = self._open(roots).groupBy("key", "i", "j").applyInArrow(_likeliest(self.percent, 2), "a binary, b binary")
+        links = links.unionAll(self.confirm(likely, False))
+        roots = materialise(components(links), "roots")
+        # all that is left is confirmed where it is found: members travel with their sets, pairs do not
+        left = self._open(roots)
+        involved = materialise(left.groupBy("key", "i", "j").applyInArrow(_involved(self.percent), left.schema), "involved")
+        full = involved.join(self.sets, "node")
+        found = materialise(full.groupBy("key", "i", "j").applyInArrow(_confirmed(self.percent), "a binary, b binary"), "found")
+        roots = materialise(components(links.unionAll(found)), "roots")
+        named = self.nodes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         named = materialise(named, "named")
         least = named.groupBy("root").agg(F.min("label").alias("component_id"))
         return salted_join(named, least, "root", "node").select("node", "component_id")

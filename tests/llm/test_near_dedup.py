@@ -19,7 +19,7 @@ def test_matches_brute_force(spark, sf_dir):
 
 
 def test_chains_hot_buckets_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     docs, text = [], list(base)
