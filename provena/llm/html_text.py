@@ -215,7 +215,7 @@ def extract(page: str | None) -> str:
     semantic = any(inside.values())
     container: tuple = ()
     if total and not semantic:
-        container = max((c for c, v in held.items() if v >= HOLD * total), key=len)
+        container = max((c for c, v in held.items() if v >= HOLD * total), key=len, default=())
     kept = []
     for _, path, text, links in found:
         if semantic:
