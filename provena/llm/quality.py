@@ -138,7 +138,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     # bounded by 2 * per_class rows
     sample = [known.where(F.col("label") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
     sample = F.broadcast(sample[0].unionAll(sample[1]))
-    rows = docs.join(sample, docs["doc_id"] == sample["__id"]).select("label", docs["text"].alias("text"), "__id")
+    texts = docs.select(docs["doc_id"].alias("__doc"), docs["text"].alias("text"))  # no other column can clash
+    rows = texts.join(sample, F.col("__doc") == F.col("__id")).select("label", "text", "__id")
     rows = rows.dropDuplicates(["__id"]).select("label", "text").mapInArrow(_terms, "terms binary, label int").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["terms"])))
     x = np.array([np.frombuffer(r["terms"], np.float16) for r in rows], np.float32).reshape(-1, TERMS)
