@@ -5,8 +5,9 @@ A prefix array holds the polynomial hash of every prefix of a text, modulo
 subtractions and finds the longest common extension of two places by binary
 search. A document's fingerprint is drawn from the hashes of all its spans of
 GRAM bytes: the spans fall into SLOTS slots by hash, and each slot keeps its
-least value, so that equal slots estimate the share of spans that two texts
-have in common.
+least hash in full, so that equal slots estimate the share of spans that two
+texts have in common however long they are. Only the least hash is cut to 16
+bits, after a remix: two different ones agree by chance once in 65536.
 
 Defined results: a null or empty text has no span and the fingerprint of the
 empty text, which is alike (1.0) only to itself; a text shorter than GRAM bytes
@@ -98,10 +99,13 @@ class PrefixHashes:
 
 
 EMPTY = np.uint16(0xFFFF)
+#: What a slot compares: the bits of a hash that do not name the slot.
+REST = np.uint64(2**58 - 1)
+NONE = np.uint64(2**64 - 1)
 
 
 def sketches(texts: list[bytes]) -> np.ndarray:
-    """(texts, SLOTS) least values per slot; EMPTY where a slot has no span."""
+    """(texts, SLOTS) 16 bits of the least hash per slot; EMPTY where a slot has no span."""
     out = np.full((len(texts), SLOTS), EMPTY, np.uint16)
     first = 0
     while first < len(texts):
@@ -119,9 +123,11 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         ends = np.minimum(starts + GRAM, offsets[row + 1])
         h = mix(PrefixHashes(data).spans(starts, ends))
         slot = (h >> np.uint64(58)).astype(np.int64)  # SLOTS = 2**6
-        value = ((h >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)
+        least = np.full((last - first) * SLOTS, NONE)
+        np.minimum.at(least, row * SLOTS + slot, h & REST)
+        value = (mix(least) >> np.uint64(48)).astype(np.uint16)
         value[value == EMPTY] = 0xFFFE
-        np.minimum.at(out.reshape(-1), (row + first) * SLOTS + slot, value)
+        out[first:last] = np.where(least == NONE, EMPTY, value).reshape(-1, SLOTS)
         first = last
     return out
 

@@ -253,6 +253,16 @@ def test_fingerprints(spark, sf_dir):
     assert np.mean([r.near_edited for r in long]) > 0.35 > 0.1 > np.mean([r.near_next for r in long])
 
 
+def test_fingerprints_of_very_long_texts():
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(32, 127, 4 << 20, dtype=np.uint8).tobytes() for _ in range(2))
+    half = a[: 2 << 20] + b[2 << 20 :]  # shares a third of all spans with either
+    one, other, both = fingerprints.sketches([a, b, half])
+    assert fingerprints.likeness(one[None], other[None])[0] < 0.05
+    assert 0.15 < fingerprints.likeness(one[None], both[None])[0] < 0.55
+    assert fingerprints.likeness(one[None], fingerprints.sketches([a]))[0] == 1.0
+
+
 def test_fingerprints_odd_rows(spark):
     got = fingerprints.fingerprint_documents(odd(spark)).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(x[0]) for x in ODD)
