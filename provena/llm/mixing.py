@@ -2,9 +2,13 @@
 
 Documents are summed into cells of (source, lang, topic). The cells' token
 weights are raked: scaled in turn so that each marginal meets its target, until
-all marginals agree. A document is kept with a probability proportional to its
-cell's ratio of raked to natural tokens; the largest ratio gives 1, so the kept
-tokens meet the targets in expectation.
+all marginals agree. A document is kept with a probability of its cell's ratio
+of raked to natural tokens times one rate for all cells, 1 at most. The rate is
+set by cells of material mass: it is the largest at which the cells that would
+need more than all their documents hold no more than CLIPPED of the raked
+tokens. Those are kept whole, so that a few rare documents do not thin the whole
+corpus; the others meet the targets in expectation. The rate is a column of the
+result.
 
 Defined results: a null or empty text has no tokens and takes its cell's
 probability; a null source or language is a category of its own, ``(none)``;
@@ -14,9 +18,10 @@ an empty table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.runtime import materialise
@@ -28,6 +33,10 @@ MAX_ROUNDS, TOLERANCE = 40, 1e-6
 #: Rounds end when one leaves more than this part of the gap that was there before.
 STALLED = 0.995
 SEED = 17
+#: Cells kept whole though they should be repeated hold this part of the raked tokens at most.
+CLIPPED = 0.01
+#: Ratios are summed up in steps of this factor, so that the number of sums has a bound.
+STEP = 1.01
 
 
 def topic_of(text: Column) -> Column:
@@ -100,17 +109,31 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     return state.select(*DIMS, "tokens", "weight").unionByName(empty.select(*DIMS, "tokens", "weight"))
 
 
+def sampling_rate(raked: DataFrame) -> DataFrame:
+    """One row, ``rate``: what ratios are multiplied by to give probabilities.
+
+    ``raked`` has ``ratio`` and ``weight`` of all cells. From the largest ratio
+    down, the first step at which more than CLIPPED of the weight is reached is
+    given the probability 1. A table without weight has the rate 1.
+    """
+    steps = raked.where("weight > 0").groupBy(F.floor(F.log("ratio") / math.log(STEP)).alias("step")).agg(F.max("ratio").alias("top"), F.sum("weight").alias("weight"))
+    # the steps are few, however many cells there are: the logarithms of doubles have a bound
+    reached = steps.withColumn("reached", F.sum("weight").over(Window.orderBy(F.desc("step"))))
+    total = steps.agg(F.sum("weight").alias("total"))
+    top = reached.crossJoin(F.broadcast(total)).where(F.col("reached") > F.lit(CLIPPED) * F.col("total")).agg(F.max("top").alias("top"))
+    return top.select(F.coalesce(F.lit(1.0) / F.col("top"), F.lit(1.0)).alias("rate"))
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = SEED) -> DataFrame:
-    """One row per document: its cell, tokens, ratio, probability and whether it is kept."""
+    """One row per document: its cell, tokens, ratio, probability, the rate of all and whether it is kept."""
     rows = with_cells(docs)
     rows = materialise(rows, "mix-rows")
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens"))
     raked = rake(cells, targets).withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0))
-    raked = materialise(raked.select(*DIMS, "ratio"), "raked")
-    top = raked.agg(F.max("ratio").alias("top"))
-    cells = raked.crossJoin(F.broadcast(top)).select(*DIMS, "ratio", F.least(F.lit(1.0), F.col("ratio") / F.col("top")).alias("probability"))
+    raked = materialise(raked.select(*DIMS, "ratio", "weight"), "raked")
+    cells = raked.crossJoin(F.broadcast(sampling_rate(raked))).select(*DIMS, "ratio", "rate", F.least(F.lit(1.0), F.col("ratio") * F.col("rate")).alias("probability"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    return rows.join(cells, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "ratio", "probability", (draw < F.col("probability")).alias("kept"))
+    return rows.join(cells, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "ratio", "probability", "rate", (draw < F.col("probability")).alias("kept"))
 
 
 def keep_mixed(docs: DataFrame, **kw) -> DataFrame:

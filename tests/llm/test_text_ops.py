@@ -93,6 +93,21 @@ def test_mixing(spark, sf_dir):
     assert all(r.kept for r in got if r.probability >= 1) and 0 < sum(r.kept for r in got) < 200
 
 
+def test_one_rare_document_does_not_thin_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 3)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 300) AS text", "IF(id % 3 = 0, 'b', 'a') AS lang", "IF(id % 2 = 0, 'x', 'y') AS source")
+    rare = spark.createDataFrame([(9999, "one | word", "en", None)], "doc_id long, text string, lang string, source string")
+    plain = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs.unionByName(rare)).collect()}
+    assert got[9999].probability == 1.0 and got[9999].kept and got[9999].ratio > 5
+    assert sum(r.kept for r in got.values()) >= 0.97 * sum(r.kept for r in plain.values())
+    assert len({r.rate for r in got.values()}) == 1
+    for r in got.values():
+        assert r.probability == pytest.approx(min(1.0, r.ratio * r.rate))
+    over = sum(r.ratio * r.n_tokens for r in got.values() if r.ratio * r.rate > 1 + 1e-9)
+    assert over <= mixing.CLIPPED * sum(r.ratio * r.n_tokens for r in got.values())
+
+
 def test_mixing_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_ROUNDS", 3)
     assert {str(r.doc_id) for r in mixing.mix(odd(spark)).collect()} == {str(x[0]) for x in ODD}
