@@ -44,16 +44,21 @@ _RANKS = "(SELECT t.target_id, t.query_id, t.target_type, min(r.rank) AS rank FR
 def golden_targets(t):
     """JOIN-22: passages and the documents that hold them.
 
-    Both sides meet on the passage's first six words, found at any place of the
-    document, before the whole passage is compared.
+    A passage may begin and end within words of the document, but all words
+    between its first and its last one are whole there. Both sides meet on the
+    first six of those, found at any place of the document, before the whole
+    passage is compared. Passages with fewer are compared with all documents.
     """
     n = 6
-    words = lambda c: F.split(F.trim(F.col(c)), r"\s+")
-    b = t.benchmark.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words("text"), 1, n), " ").alias("key"))
+    words = lambda c: F.split(F.col(c), r"\s+")
+    b = t.benchmark.select("item_id", F.col("text").alias("passage"), words("text").alias("w"))
+    keyed = b.where(F.size("w") >= n + 2).select("item_id", "passage", F.array_join(F.slice("w", 2, n), " ").alias("key"))
+    short = b.where(F.size("w") < n + 2).select("item_id", "passage")
+    holds = F.expr("contains(text, passage)")
     d = t.documents.select("doc_id", "text", words("text").alias("w")).where(F.size("w") >= n)
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    # the passage may begin within a word of the document, so its first whole words decide
-    return d.select("doc_id", "text", F.explode(keys).alias("key")).join(b, "key").where(F.expr("contains(text, passage)")).select("item_id", "doc_id").distinct()
+    met = d.select("doc_id", "text", F.explode(keys).alias("key")).join(keyed, "key").where(holds).select("item_id", "doc_id")
+    return met.unionAll(t.documents.select("doc_id", "text").join(short, holds).select("item_id", "doc_id")).distinct()
 
 
 @query(f"""WITH r AS ({_PLAIN}), {_T}, k AS {_RANKS.format(r='r')}, m AS (SELECT 'overall' AS slice, 'all' AS value, rank FROM k UNION ALL SELECT 'target_type', target_type, rank FROM k)
