@@ -53,16 +53,18 @@ def _run_at(n: int):
     return lambda i: F.array_join(F.slice("w", i, n), " ")
 
 
-def mentions(texts: DataFrame, row_id: str, text: str, aliases: DataFrame, most_words: int = 3) -> DataFrame:
+def mentions(texts: DataFrame, row_id: str, text: str, aliases: DataFrame) -> DataFrame:
     """Aliases in a text as whole words, longest first, one row per canonical id (JOIN-16).
 
-    Runs of up to ``most_words`` words are joined with the aliases by equality, so
-    no text meets every alias. ``aliases``: alias_text, canonical_id.
+    Runs of as many words as an alias has are joined with the aliases by equality,
+    so no text meets every alias; the driver sees the lengths that occur.
+    ``aliases``: alias_text, canonical_id.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = texts.select(row_id, words.alias("w"))
+    words = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    rows = texts.select(row_id, words(text).alias("w"))
+    sizes = aliases.select(F.size(words("alias_text")).alias("n")).where("n > 0").distinct()
     runs = []
-    for n in range(1, most_words + 1):
+    for n in sorted(r.n for r in sizes.collect()) or [1]:
         grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run_at(n))
         runs.append(rows.where(F.size("w") >= n).select(row_id, F.explode(F.array_distinct(grams)).alias("run")))
     found = reduce(DataFrame.unionAll, runs).join(aliases.select(F.lower("alias_text").alias("run"), "canonical_id").distinct(), "run")

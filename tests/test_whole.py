@@ -2,6 +2,7 @@
 
 import duckdb
 
+from provena.operators import resolve
 from provena.plans import registry
 
 
@@ -20,3 +21,11 @@ def test_golden_targets_finds_passages_without_whole_first_words(spark, tmp_path
     want = sorted(con.sql(registry.oracle_sql()["golden_targets"]).fetchall())
     assert sorted(map(tuple, registry.queries()["golden_targets"](spark, str(tmp_path)).collect())) == want
     assert {(0, 1), (1, 1), (2, 1), (2, 5), (3, 2), (4, 2)} <= set(want)
+
+
+def test_mentions_finds_aliases_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "a sheet of cold rolled low carbon steel, coated"), (2, "Low Carbon"), (3, None)], "doc_id long, text string")
+    aliases = spark.createDataFrame([("cold rolled low carbon steel", "C1"), ("low carbon", "C1"), ("sheet of cold rolled", "C2"), ("steel", "C3"), (None, "C4")], "alias_text string, canonical_id string")
+    got = {tuple(r) for r in resolve.mentions(texts, "doc_id", "text", aliases).collect()}
+    assert got == {(1, "C1", "cold rolled low carbon steel"), (1, "C2", "sheet of cold rolled"), (1, "C3", "steel"), (2, "C1", "low carbon")}
+    assert resolve.mentions(texts, "doc_id", "text", aliases.limit(0)).count() == 0
