@@ -40,14 +40,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Delete this application's scratch tables; call it once results that read them are stored."""
-    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+def scratch_count(spark: SparkSession) -> int:
+    """How many scratch paths this application has; ``release`` takes what came after."""
+    return len(_SCRATCH.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete this application's scratch tables from the ``since``-th on, but for the last ``keep``.
+
+    Call it once results that read them are stored.
+    """
+    paths = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    gone = paths[since : len(paths) - keep]
+    paths[since : len(paths) - keep] = []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for p in paths:
+    for p in gone:
         at = hadoop.Path(p)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    return len(paths)
+    return len(gone)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
