@@ -109,8 +109,61 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans(prefix(data), starts, ends)
+#: Places of a word whose codes are looked up; further ones are computed.
+_PLACES = 48
+_tables: dict[int, np.ndarray] = {}
+
+
+def _place_codes(seed: int) -> np.ndarray:
+    """A random code for each byte at each of the first places of a word."""
+    if seed not in _tables:
+        _tables[seed] = mix(np.arange(_PLACES * 256, dtype=_U), 1009 + seed)
+    return _tables[seed]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words: a random code for each (place, byte), summed up and mixed.
+
+    Unlike a polynomial modulo 2**64, no family of words collides by its structure.
+    Different seeds give independent hashes.
+    """
+    if not len(starts):
+        return np.zeros(0, _U)
+    place = np.arange(len(data))
+    opening = np.zeros(len(data), np.int64)
+    opening[starts] = starts
+    place -= np.maximum.accumulate(opening)
+    code = _place_codes(seed)[np.minimum(place, _PLACES - 1) * 256 + data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        code[far] = mix(mix(place[far].astype(_U), 2017 + seed) + data[far], 3023 + seed)
+    total = np.zeros(len(data) + 1, _U)
+    with np.errstate(over="ignore"):
+        np.cumsum(code, out=total[1:], dtype=_U)
+        return mix(total[ends] - total[starts] + (ends - starts).astype(_U) * _U(0xA0761D6478BD642F), seed)
+
+
+def piece_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit digests of data[starts:ends] (eight bytes or more each): a mix of every (place, eight bytes), summed up."""
+    wide = np.zeros(max(len(data) - 7, 0), _U)
+    for k in range(8):
+        wide |= data[k : len(wide) + k].astype(_U) << _U(8 * k)
+    size = ends - starts
+    count = (size + 7) // 8  # the last eight bytes overlap those before
+    at = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(len(starts), _U)
+    row = 0
+    while row < len(starts):  # in steps of bounded size
+        stop = max(row + 1, int(np.searchsorted(at, at[row] + (1 << 20), "right")) - 1)
+        owner = np.repeat(np.arange(row, stop), count[row:stop])
+        place = np.arange(at[row], at[stop]) - at[owner]
+        where = np.minimum(starts[owner] + 8 * place, ends[owner] - 8)
+        with np.errstate(over="ignore"):
+            parts = mix(wide[where] ^ mix(place.astype(_U), 4001 + seed), 5003 + seed)
+            out[row:stop] = np.add.reduceat(parts, at[row:stop] - at[row])
+        row = stop
+    with np.errstate(over="ignore"):
+        return mix(out + size.astype(_U) * _U(0xA0761D6478BD642F), seed)
 
 
 def ngrams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

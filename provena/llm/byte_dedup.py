@@ -13,7 +13,7 @@ same anchor groups all occurrences of a string under one anchor hash, so:
    and a neighbour have at least LENGTH bytes in common;
 3. the answers, a bit per string, go back to the batch, which cuts the bytes.
 
-All occurrences of a string are compared by 128 bits of digest in step 1 and
+All occurrences of a string are compared by 128 bits of hashes in step 1 and
 byte by byte in step 2; only text that shares an anchor is sorted, so shards
 stay far smaller than the corpus, and a shard larger than memory spills.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm import induced
-from provena.llm.buffers import blocks, mix, prefix, spans, string_buffer
+from provena.llm.buffers import blocks, mix, piece_digests, prefix, spans, string_buffer
 from provena.llm.ranges import batch_count, bounds, pack_sorted, range_of, unpack_sorted
 from provena.runtime import ship, shuffle_partitions
 
@@ -64,7 +64,7 @@ class _Stretches:
         self.length = length
         self.data, self.offsets = string_buffer(texts)
         window = length - GRAM + 1
-        firsts, lasts, anchors, digests, seconds = [], [], [], [], []
+        firsts, lasts, anchors, digests = [], [], [], []
         for row, _, d, o in blocks(self.data, self.offsets):
             if len(d) < length:
                 continue
@@ -93,7 +93,7 @@ class _Stretches:
             firsts.append(first + base)
             lasts.append(last + base)
             anchors.append(mix(grams[least[first]], 43))  # least hashes are small: spread them over the buckets
-            digests.append(spans(pre, first, last + length, 41))
+            digests.append(piece_digests(d, first, last + length, 41))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.first, self.last = join(firsts, np.int64), join(lasts, np.int64)
         anchor, digest = join(anchors, np.uint64), join(digests, np.uint64)

@@ -4,7 +4,7 @@ Documents are dealt into batches by ranges of ascending id. Each batch gives one
 sorted, immutable run of the distinct hashes of its word windows, cut into
 buckets by hash. The runs of a bucket are merge-joined: a window is repeated if
 its hash is in an earlier run (history, or a batch of smaller ids) and an
-independent check hash verifies it, or if it also starts in a document of
+independent check hash (of other codes of the same words) verifies it, or if it also starts in a document of
 smaller id of the same batch. A bit per window goes back to the batch, which
 drops the words that repeated windows cover. With an index folder, what a load
 adds is kept as one more run, and runs are compacted into one when there are
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.buffers import blocks, mix, ngrams, row_of, string_buffer, word_hashes, words
+from provena.llm.buffers import blocks, ngrams, row_of, string_buffer, word_hashes, words
 from provena.llm.ranges import HIGH, batch_count, bounds, pack_sorted, range_of, unpack_sorted
 from provena.runtime import materialise, scratch_path, ship, shuffle_partitions
 
 WINDOW = 13
 #: Input bytes of a batch, as stored.
 BATCH_BYTES = 4 << 20
+#: Bytes of the check hash that verifies a match of the 64-bit hashes.
+CHECK_BYTES = 3
 #: Runs that an index holds before they are compacted.
 MOST_RUNS = 8
 
@@ -40,15 +42,17 @@ MOST_RUNS = 8
 class _Batch:
     """Words and window hashes of the rows of a batch."""
 
-    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int):
+    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, window: int, checked: bool):
         self.data, self.offsets = string_buffer(texts)
         self.ids = ids.combine_chunks().fill_null(HIGH).to_numpy(zero_copy_only=False).astype(np.int64) if ids.null_count else ids.to_numpy().astype(np.int64)
-        starts, ends, hashes, counts = [], [], [], []
+        starts, ends, hashes, seconds, counts = [], [], [], [], []
         for first, _, d, o in blocks(self.data, self.offsets):
             s, e, w = words(d, o)
             starts.append(s + self.offsets[first])
             ends.append(e + self.offsets[first])
             hashes.append(word_hashes(d, s, e))
+            if checked:
+                seconds.append(word_hashes(d, s, e, 1))
             counts.append(np.diff(w))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.starts, self.ends = join(starts, np.int64), join(ends, np.int64)
@@ -59,7 +63,6 @@ class _Batch:
         last = self.words[1:][row[: len(every)]]
         self.at = np.flatnonzero(np.arange(len(every)) + window <= last) if len(every) else np.zeros(0, np.int64)
         self.doc = row[self.at]
-        # (key, check): two independent hashes of a window
         keys = every[self.at]
         order = np.argsort(keys, kind="stable")
         new = np.ones(len(order), bool)
@@ -69,12 +72,12 @@ class _Batch:
         self.of[order] = np.cumsum(new) - 1
         self.least = np.minimum.reduceat(self.ids[self.doc][order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
         self.first = order[new]
-        self.hashes = h
+        self.seconds = join(seconds, np.uint64)
 
     def checks(self, window: int) -> np.ndarray:
-        """One byte per distinct key, from a second hash of its words."""
-        second = ngrams(mix(self.hashes, 11), window, 3)
-        return (second[self.at[self.first]] >> np.uint64(56)).astype(np.uint8) if len(self.first) else np.zeros(0, np.uint8)
+        """(distinct keys, CHECK_BYTES), from a second hash of the words that is independent of the first."""
+        second = ngrams(self.seconds, window, 3)
+        return second[self.at[self.first]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK_BYTES] if len(self.first) else np.zeros((0, CHECK_BYTES), np.uint8)
 
     def cuts(self, buckets: int) -> np.ndarray:
         """Where each bucket begins among the sorted keys: buckets are ranges of the hash."""
@@ -87,7 +90,7 @@ RUN = "bucket int, run long, keys binary, checks binary"
 
 def _runs(window: int, buckets: int):
     def make(key, table):
-        batch = _Batch(table.column("id"), table.column("text"), window)
+        batch = _Batch(table.column("id"), table.column("text"), window, True)
         cuts, checks = batch.cuts(buckets), batch.checks(window)
         rows = [(b, pack_sorted(batch.keys[i:j]), checks[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         return pa.table([
@@ -107,7 +110,7 @@ def _merge(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarra
         runs.append(run)
         sizes.append(len(k))
         keys.append(k)
-        checks.append(np.frombuffer(table.column("checks")[i].as_py(), np.uint8))
+        checks.append(np.frombuffer(table.column("checks")[i].as_py(), np.uint8).reshape(-1, CHECK_BYTES))
     keys, checks = np.concatenate(keys), np.concatenate(checks)
     order = np.argsort(keys, kind="stable")  # sorted runs, merged; equal keys stay in order of runs
     sorted_ = keys[order]
@@ -115,7 +118,7 @@ def _merge(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarra
     head[1:] = sorted_[1:] != sorted_[:-1]
     first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     again = np.zeros(len(order), bool)
-    again[order] = ~head & (checks[first] == checks[order])
+    again[order] = ~head & (checks[first] == checks[order]).all(axis=1)
     return runs, sizes, keys, checks, again
 
 
@@ -143,7 +146,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _drop(window: int, buckets: int):
     def drop(left, right):
-        batch = _Batch(left.column("id"), left.column("text"), window)
+        batch = _Batch(left.column("id"), left.column("text"), window, False)
         flagged = np.zeros(len(batch.keys), bool)
         cuts = batch.cuts(buckets)
         for b, bits in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True):

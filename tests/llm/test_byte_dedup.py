@@ -49,6 +49,14 @@ def test_repeated_rows_and_empty(spark):
     assert byte_dedup.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_bytes_that_defeat_polynomial_hashes(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, "q" * 40 + one), (2, "r" * 40 + one.translate(str.maketrans("ab", "ba"))), (3, "x" * 150 + one[:1000])]
+    same(byte_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+
+
 def test_shard_beyond_memory():
     rng = np.random.default_rng(3)
     pieces = [rng.integers(97, 100, 300).astype(np.uint8) for _ in range(5)]
