@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from provena.operators.skew import salted_join
 from provena.runtime import materialise, scratch_path, ship
@@ -51,7 +50,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, needle="PRIVATE KEY"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, needle="eyJ"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,64}@", 0, 10, needle="://"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/@]{3,64}@", 0, 10, needle="://"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -100,7 +99,7 @@ def _scan(rules: tuple[Rule, ...], n_base: int):
 
 
 class BlobLedger:
-    """The ledger at ``path``: Parquet runs, one folder per rule version and run, never rewritten."""
+    """The ledger at ``path``: Parquet runs, one folder per rule version and run; ``compact`` makes one of many."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = RULES):
         if tuple(r.kind for r in rules[:3]) != ("assign", "access", "hex"):
@@ -110,12 +109,17 @@ class BlobLedger:
         self.path = path or scratch_path(spark, "ledger")
         self.runs = f"{self.path}/rules={self.version}"
 
+    def _folders(self) -> list:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        at = hadoop.Path(self.runs)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted((s.getPath().toString() for s in fs.listStatus(at)) if fs.exists(at) else [])
+
     def findings(self) -> DataFrame | None:
         """What the ledger holds for this rule version; None before the first run."""
-        try:
-            return self.spark.read.schema(FOUND).option("recursiveFileLookup", "true").parquet(self.runs)
-        except AnalysisException:
-            return None
+        # runs are named one by one: Spark takes two reads of one folder for the same, whatever was added between them
+        found = self._folders()
+        return self.spark.read.schema(FOUND).parquet(*found) if found else None
 
     def scan(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Scan the unseen blobs of ``docs``; return id, blob and findings of every row."""
@@ -140,11 +144,56 @@ class BlobLedger:
         )
 
 
+    def compact(self) -> None:
+        """All runs of this rule version as one, sorted by blob; the old ones go once the new one is there."""
+        old = self._folders()
+        self.findings().dropDuplicates(["blob"]).repartitionByRange("blob").sortWithinPartitions("blob").write.parquet(scratch_path_in(self.runs))
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        fs = hadoop.Path(self.runs).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for p in old:
+            fs.delete(hadoop.Path(p), True)
+
+
 def scratch_path_in(folder: str) -> str:
     return f"{folder}/run-{uuid.uuid4().hex[:12]}"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document, by a ledger that starts empty."""
-    found = BlobLedger(spark).scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Secrets in every document.
+
+    The smaller half of the ids is the first load of an empty ledger; of the rest
+    only blobs that the ledger lacks are scanned.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    first = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(True))
+    ledger = BlobLedger(spark)
+    found = ledger.scan(docs.where(first)).unionAll(ledger.scan(docs.where(~first)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def _sql() -> str:
+    """The scan in DuckDB: places of matches are the lengths of what lies between them, summed up."""
+    each = []
+    for rank, r in enumerate(RULES):
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", r.pattern.split(")", 1)[0]) + ")" + r.pattern.split(")", 1)[1] if r.ignore_case else r.pattern
+        pattern = pattern.replace("'", "''")
+        each.append(
+            f"SELECT doc_id, {rank} AS kind, '{r.kind}' AS name, {r.least} AS least, regexp_extract_all(t, '{pattern}') AS found, "
+            f"regexp_extract_all(t, '{pattern}', {r.group}) AS part, regexp_split_to_array(t, '{pattern}') AS gaps FROM d"
+        )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(each)}),
+p AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m WHERE len(found) > 0),
+s AS (SELECT doc_id, kind, name, length(part[i]) >= least AS good, length(found[i]) AS n,
+        (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS b FROM p),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(name || ':' || b || ':' || (b + n), ',' ORDER BY b, kind) FILTER (kind < 3) AS base, string_agg(name || ':' || b || ':' || (b + n), ',' ORDER BY b, kind) AS spans
+      FROM s WHERE good GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP1_SQL = _sql()
