@@ -54,7 +54,22 @@ def test_min_max_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
 
 
-def test_components_of_a_long_chain(spark):
-    pairs = [(k.to_bytes(2, "big"), (k + 1).to_bytes(2, "big")) for k in range(60)] + [(b"\x01\x00", b"\x01\x01")]
-    got = links.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()
-    assert {bytes(r.root) for r in got} == {b"\x00\x00", b"\x01\x00"} and len(got) == 63
+def test_words_that_defeat_polynomial_hashes(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    docs = [(1, f"{one} x"), (2, f"{one.translate(str.maketrans('ab', 'ba'))} x"), (3, f"{one} x")]
+    check(near_dedup.group(spark.createDataFrame(docs, "doc_id long, text string"), n=2).collect(), docs)
+
+
+def test_components_of_long_chains_and_a_star(spark):
+    name = lambda k: k.to_bytes(3, "big")
+    order = list(range(5000))
+    random.Random(2).shuffle(order)
+    pairs = [(name(a), name(b)) for a, b in zip(order, order[1:], strict=False)]
+    pairs += [(name(6000 + k), name(6001 + k)) for k in range(500)] + [(name(9000), name(8000 - k)) for k in range(900)]
+    got = {bytes(r.node): bytes(r.root) for r in links.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
+    assert len(got) == 5000 + 501 + 901
+    assert all(got[name(k)] == name(0) for k in order) and all(got[name(6000 + k)] == name(6000) for k in range(501))
+    assert got[name(9000)] == got[name(7500)] == name(7101)
+    assert links.components(spark.createDataFrame([], "a binary, b binary")).count() == 0

@@ -8,8 +8,7 @@ from test_text_ops import check_packing
 LOWER = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
 
 
-def test_stages_match_brute_force(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_ROUNDS", 2)
+def test_stages_match_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     (_, good), (_, exact), (_, near), (_, mix), (_, pack) = corpus_pipeline.STAGES
@@ -44,8 +43,7 @@ def test_stages_match_brute_force(spark, sf_dir, monkeypatch):
     assert check_packing([(r.doc_id, r.text) for r in drawn.collect()], pieces.collect()) == 0
 
 
-def test_run(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_ROUNDS", 1)
+def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 0 and got.agg({"length": "max"}).first()[0] <= 1024
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]

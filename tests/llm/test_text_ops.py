@@ -1,8 +1,12 @@
 import hashlib
+import math
+import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
@@ -49,6 +53,20 @@ def test_secrets_odd_rows_and_ledger(spark):
     assert ledger.findings().count() == before  # nothing unseen
     assert sorted(r.base_spans for r in again) == sorted(r.base_spans for r in got)
     assert ledger.scan(odd(spark).limit(0)).count() == 0
+    ledger.compact()
+    assert len(ledger._folders()) == 1 and ledger.findings().count() == before
+
+
+def test_secrets_sql_matches_brute_force():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, r[1]) for k, r in enumerate(ODD)])
+    compiled = secrets._compiled(secrets.RULES)
+    for r in con.sql(secrets.OP1_SQL).fetchall():
+        assert r[5] == ",".join(x[2] for x in secrets.find_spans(ODD[r[0]][1] or "", compiled))
+        assert r[4] == brute.sha(brute.spans_text(brute.base_spans(ODD[r[0]][1])))
 
 
 def test_exact_dedup(spark):
@@ -63,6 +81,22 @@ def test_exact_dedup(spark):
     assert sorted(str(r.doc_id) for r in exact_dedup.keep_first(odd(spark), exact_dedup.DigestIndex(spark)).collect()) == ["2", "4", "4", "5", "7", "8", "9", "None"]
 
 
+def test_exact_dedup_decides_each_text_of_an_id(spark):
+    frame = spark.createDataFrame([(5, "a"), (7, "a"), (7, "b"), (9, "b")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.keep_first(frame, exact_dedup.DigestIndex(spark)).collect())) == [(7, "a"), (9, "b")]
+
+
+def test_digest_index_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BATCHES", 2)
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    for at in range(4):
+        got = index.ingest(spark.createDataFrame([(at, "same"), (10 + at, f"own {at}")], "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(at, 0, at == 0), (10 + at, 10 + at, True)}
+    assert index._versions() == [3] and index.known().count() == 5
+    index.drop()
+    assert index.known() is None
+
+
 def test_exact_dedup_hot_group(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("Same")).otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_dedup.DigestIndex(spark).ingest(docs)
@@ -74,7 +108,9 @@ def test_raking_meets_targets_and_matches_numpy(spark):
     cells = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 500))) for a in range(4) for b in range(3) for c in range(3)]
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     want = {"source": {"s0": 0.1, "s1": 0.2, "s2": 0.3, "s3": 0.4}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}, "topic": {"t0": 0.2, "t1": 0.2, "t2": 0.6}}
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(frame, want).collect()}
+    raked, gap = mixing.rake(frame, want)
+    got = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
+    assert gap < mixing.TOLERANCE
     w = np.array([c[3] for c in cells], float).reshape(4, 3, 3)
     total = w.sum()
     for _ in range(200):
@@ -87,14 +123,95 @@ def test_raking_meets_targets_and_matches_numpy(spark):
         assert got[s, l, t] == pytest.approx(x, rel=1e-4)
 
 
-def test_mixing(spark, sf_dir):
+def mixed(docs, targets=None):
+    """{row number: (cell, tokens, ratio, probability, kept)} of (doc_id, text, lang, source), in plain Python."""
+    counts = []
+    for _, t, _, _ in docs:
+        t = t or ""
+        counts.append((len(brute.WORD.findall(t)), len(t), *(len(re.findall(p, t)) for p in ("[0-9]", "[A-Z]", r"[!?;:(){}\[\]$%&*+=|/<>@#^~_-]", "\n"))))
+    values = [[c[k] / c[1] if c[1] else None for k in (2, 3, 4, 5)] + [c[1] / c[0] if c[0] else None for _ in "x"] for c in counts]
+    topics = ["plain"] * len(docs)
+    norms = []
+    for k in range(5):
+        have = [v[k] for v in values if v[k] is not None]
+        norms.append((np.mean(have), np.std(have)) if have else (0, 0))
+    for i, v in enumerate(values):
+        far = [0.0 if x is None or not d else (x - m) / d for x, (m, d) in zip(v, norms, strict=True)]
+        if max(far) >= 1:
+            topics[i] = mixing.FEATURES[far.index(max(far))]
+    cells = [(s or "(none)", g or "(none)", t) for (_, _, g, s), t in zip(docs, topics, strict=True)]
+    tokens = {}
+    for c, n in zip(cells, counts, strict=True):
+        tokens[c] = tokens.get(c, 0) + n[0]
+    weight = {c: float(n) for c, n in tokens.items() if n}
+    total = sum(weight.values())
+    shares = []
+    for k in range(3):
+        natural = {}
+        for c, n in weight.items():
+            natural[c[k]] = natural.get(c[k], 0) + n
+        raw = {x: n**mixing.TEMPER for x, n in natural.items()}
+        shares.append({x: v / sum(raw.values()) for x, v in raw.items()})
+    for _ in range(200):
+        for k in range(3):
+            now = {}
+            for c, w in weight.items():
+                now[c[k]] = now.get(c[k], 0) + w
+            weight = {c: w * shares[k][c[k]] * total / now[c[k]] for c, w in weight.items()}
+    ratio = {c: weight[c] / n if n else 1.0 for c, n in tokens.items()}
+    steps = {}
+    for c, w in weight.items():
+        step = math.floor(math.log(ratio[c]) / math.log(mixing.STEP))
+        top, sum_ = steps.get(step, (0, 0))
+        steps[step] = max(top, ratio[c]), sum_ + w
+    reached, rate = 0.0, 1.0
+    for step in sorted(steps, reverse=True):
+        reached += steps[step][1]
+        if reached > mixing.CLIPPED * total:
+            rate = 1 / steps[step][0]
+            break
+    out = []
+    for (i, *_), c, n in zip(docs, cells, counts, strict=True):
+        h = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), h)
+        p = min(1.0, ratio[c] * rate)
+        out.append((str(i), c, n[0], h % (1 << 40) / (1 << 40) < p, ratio[c], p))
+    return sorted(out)
+
+
+def same_mix(got, want):
+    got = sorted((str(r.doc_id), (r.source, r.lang, r.topic), r.n_tokens, r.kept, r.ratio, r.probability) for r in got)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in want], rtol=1e-3)
+
+
+def test_mixing_matches_plain_python(spark, sf_dir):
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = mixing.op4_mix_to_targets(spark, sf_dir).collect()
-    assert len(got) == 200 and max(r.probability for r in got) == pytest.approx(1.0)
-    assert all(r.kept for r in got if r.probability >= 1) and 0 < sum(r.kept for r in got) < 200
+    same_mix(got, mixed(docs))
+    assert {r.gap < mixing.TOLERANCE for r in got} == {True} and 0 < sum(r.kept for r in got) < len(docs)
+
+
+def test_mixing_odd_rows_match_plain_python(spark):
+    got = mixing.mix(odd(spark)).collect()
+    same_mix(got, mixed([(i, t, g, s) for i, t, g, s, _ in ODD]))
+    assert mixing.mix(odd(spark).limit(0)).count() == 0
+    assert mixing.keep_mixed(odd(spark)).columns == odd(spark).columns
+
 
+def test_targets_that_cannot_be_met_settle_and_tell(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 50), ("b", "x", "t", 50), ("b", "y", "t", 50)], "source string, lang string, topic string, tokens long")
+    raked, gap = mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"t": 1}})
+    assert raked.count() == 3 and gap == pytest.approx(0.7, abs=1e-3)
 
-def test_one_rare_document_does_not_thin_the_corpus(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_ROUNDS", 3)
+
+def test_mixing_to_a_budget_and_a_given_topic(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('word ', 100) AS text", "'en' AS lang", "IF(id % 2 = 0, 'x', 'y') AS source", "IF(id % 5 = 0, 'law', 'news') AS subject")
+    got = mixing.mix(docs, topic_col="subject", budget=50_000).collect()
+    assert {r.topic for r in got} == {"law", "news"} and sum(r.probability * r.n_tokens for r in got) == pytest.approx(50_000, rel=1e-6)
+
+
+def test_one_rare_document_does_not_thin_the_corpus(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 300) AS text", "IF(id % 3 = 0, 'b', 'a') AS lang", "IF(id % 2 = 0, 'x', 'y') AS source")
     rare = spark.createDataFrame([(9999, "one | word", "en", None)], "doc_id long, text string, lang string, source string")
     plain = {r.doc_id: r for r in mixing.mix(docs).collect()}
@@ -108,13 +225,6 @@ def test_one_rare_document_does_not_thin_the_corpus(spark, monkeypatch):
     assert over <= mixing.CLIPPED * sum(r.ratio * r.n_tokens for r in got.values())
 
 
-def test_mixing_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_ROUNDS", 3)
-    assert {str(r.doc_id) for r in mixing.mix(odd(spark)).collect()} == {str(x[0]) for x in ODD}
-    assert mixing.mix(odd(spark).limit(0)).count() == 0
-    assert mixing.keep_mixed(odd(spark)).columns == odd(spark).columns
-
-
 def encode(text, cache=[]):  # noqa: B006
     if not cache:
         from tokenizers import Tokenizer
@@ -187,6 +297,22 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.remove_repeats(frame.limit(0)).count() == 0
 
 
+def thue_morse(k):
+    s = "a"
+    for _ in range(k):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    one, other = thue_morse(11), thue_morse(11).translate(str.maketrans("ab", "ba"))
+    rest = [f"w{k}" for k in range(12)]
+    docs = [(1, " ".join([one, *rest])), (2, " ".join([other, *rest])), (3, " ".join([one, *rest]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(frame).collect()}
+    assert got == brute.substring_dedup(docs) and got[2][1] == 0 and got[3][1] == 13
+
+
 def test_substring_index_over_loads(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MOST_RUNS", 2)
     rng = np.random.default_rng(3)
