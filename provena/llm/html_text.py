@@ -1,11 +1,18 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is read into text blocks, each with its root-to-leaf path of block tags.
-Per path, text length and punctuation are summed and divided by the number of
-blocks; both ratios are smoothed along the page, fused into one score together
-with what the path's names say (menus, adverts, comments ... score nothing), and
-thresholded. The innermost container that holds nearly all of the score is the
-article: its blocks are the text, but for paths whose names rule them out.
+A page is read into text blocks, each with its root-to-leaf path of block tags
+and their names. Per path, text length, punctuation and characters in links are
+summed and divided by the number of blocks; the ratios of length and punctuation
+are smoothed along the page and fused, less the share of links. What elements
+are called is one more factor of a block's score, never a verdict: a name lowers
+the scores of what is in the element, a compound with foreign words hardly, and
+not at all where the element holds nearly all there is.
+
+The innermost element that holds nearly all of the score is the article (its
+enclosing ``<article>`` or ``<main>`` if it has one). Its blocks are the text, but
+for those whose score falls below a threshold, and with the ``<h1>`` before it.
+
+All steps take time in proportion to the page, however deep its elements nest.
 
 Defined results: null or empty html, or a page without content, gives the empty
 text; repeated rows give repeated results; broken or unclosed markup is read as
@@ -24,12 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from provena.runtime import ship
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
-    re.DOTALL,
-)
+_MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_QUOTE = re.compile("[\"']")
 _NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_TOKEN = re.compile(r"[a-z]+|[0-9]+")
+_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -37,59 +42,115 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never read as markup or text.
 RAW = frozenset("script style noscript template svg math iframe object canvas head title textarea select audio video".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: A start tag ends an open one of these within the nearest of the containers.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-OUTSIDE_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
-OUTSIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs"
-    " footer comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription"
-    " share sharing social related recommended recommendations widget toolbar pagination pager copyright legal login signin signup search masthead skip".split()
-)
+#: Elements beyond which an open paragraph is not closed.
+BOUNDS_P = frozenset("td th li article section div blockquote body".split())
+#: An end is implied for an open element of the same kind; containers begin anew.
+KIND = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td"}
+FRESH = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt",), "table": ("tr", "td"), "tr": ("td",)}
+#: Elements that are never the article, and those that may be wrapped around it: they do not count if they hold this share of the page.
+OUTSIDE_TAGS = frozenset("nav footer aside button menu dialog".split())
+WRAPPING_TAGS = {"form": 0.5, "fieldset": 0.5, "header": 0.9}
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names of what surrounds articles: those that tell much, those that tell something,
+#: words that change nothing beside them, and words that speak for the article.
+HARD = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs footer"
+    " comment comments commentlist reply replies respond disqus cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription masthead pagination pager".split()
+)
+SOFT = frozenset("banner notice notices alert share sharing social related recommended recommendations widget toolbar copyright legal login signin signup search header skip".split())
+PLAIN = frozenset(
+    "a area bar block blog body bottom box btn button buttons center col column container content custom entry fixed form global group header holder home inner item items js left link links list"
+    " main message messages middle mobile module new news outer page panel post posts primary reader readers region right row secondary section separator side site story sticky text the thread title"
+    " top unit user users view widgets wrap wrapper x xs sm md lg".split()
+)
+ARTICLE = frozenset("article content entry story".split())
+#: Factors of a name that tells much, tells something, or stands beside foreign words; and of article and main.
+MUCH, SOME, LITTLE, WITHIN = 0.01, 0.1, 0.5, 2.0
 MAIN = frozenset(["article", "main"])
+#: A name does not count for an element that holds this share of the page.
+WHOLE, NEVER = 0.9, 2.0
 #: Share of the page's score that the article's container must hold.
 HOLD = 0.85
-#: Paths below this part of the mean score are no content of their own.
-THRESHOLD = 0.2
+#: Blocks below this part of the container's mean score are left out.
+THRESHOLD = 0.08
 
 
 class _Node:
-    __slots__ = ("label", "outside", "parent", "tag", "within")
+    __slots__ = ("factor", "first", "held", "paragraph", "parent", "path", "scope", "tag", "wrapping")
+
+    def __init__(self, tag: str, parent: _Node | None, path: int, factor: float = 1.0, wrapping: float = WHOLE):
+        self.tag, self.parent, self.path, self.factor, self.wrapping = tag, parent, path, factor, wrapping
+        self.held = 0.0
+        self.paragraph: _Node | None = None if parent is None or tag in BOUNDS_P else self if tag == "p" else parent.paragraph
+        scope = parent.scope if parent else {}
+        if tag in FRESH:
+            scope = {k: v for k, v in scope.items() if k not in FRESH[tag]}
+        if tag in KIND:
+            scope = scope | {KIND[tag]: self}
+        self.scope = scope
+
 
-    def __init__(self, tag: str, label: str, parent: _Node | None, outside: bool, within: bool):
-        self.tag, self.label, self.parent, self.outside, self.within = tag, label, parent, outside, within
+def name_factor(value: str) -> float:
+    """What a class or an id says: the least factor of its names."""
+    least = 1.0
+    for name in value.split():
+        tokens = {t.lower() for t in _TOKEN.findall(name)}
+        hard, soft = tokens & HARD, tokens & SOFT
+        if not hard and not soft:
+            continue
+        if tokens & ARTICLE and len(tokens) > 2:  # entry-content-share
+            continue
+        foreign = tokens - HARD - SOFT - PLAIN
+        least = min(least, LITTLE if foreign else MUCH if hard else SOME)
+    return least
 
 
-def _open(tag: str, attributes: str, parent: _Node) -> _Node:
-    """A block element: its label in paths, and whether its names rule it out."""
-    names, outside = "", tag in OUTSIDE_TAGS
+def _open(tag: str, attributes: str, parent: _Node, paths: dict) -> _Node:
+    """A block element, its path, and what tag and names say of it."""
+    names, factor, wrapping = "", 1.0, WHOLE
     free = tag in ("html", "body", "article", "main")
+    if tag in OUTSIDE_TAGS:
+        factor, wrapping = MUCH, NEVER
+    elif tag in WRAPPING_TAGS and not (tag == "header" and "main" in parent.scope):
+        factor, wrapping = MUCH, WRAPPING_TAGS[tag]
     if attributes and not attributes.isspace():
         for m in _NAMES.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 names += ("." if key == "class" else "#") + value
-                outside |= not free and not OUTSIDE_NAMES.isdisjoint(_TOKEN.findall(value))
-            elif key == "role":
-                outside |= value in OUTSIDE_ROLES
-            elif key == "style":
-                outside |= "display:none" in value.replace(" ", "")
-            elif key == "hidden":
-                outside = True
-            else:
-                outside |= value == "true"
-    within = parent.within or tag in MAIN
-    if tag == "header" and not parent.within:
-        outside = True
-    return _Node(tag, tag + names, parent, outside or parent.outside, within)
+                if not free:
+                    factor = min(factor, name_factor(value))
+            elif (key == "role" and value.lower() in OUTSIDE_ROLES) or key == "hidden" or (key == "style" and "display:none" in value.lower().replace(" ", "")) or (key == "aria-hidden" and value.lower() == "true"):
+                factor, wrapping = MUCH, NEVER
+    path = paths.setdefault((parent.path, tag + names), len(paths) + 1)
+    return _Node(tag, parent, path, factor, wrapping)
+
 
+def _tag_end(page: str, at: int, last: dict) -> int:
+    """Where the tag whose name ends at ``at`` is closed, quoted values passed over; -1 if it is not."""
+    if at > last[">"]:
+        return -1
+    first = stop = page.find(">", at)
+    while True:
+        quote = _QUOTE.search(page, at, stop)
+        if not quote or quote.start() >= last[quote[0]]:
+            return stop
+        at = page.find(quote[0], quote.end()) + 1
+        if at > stop:
+            if at > last[">"]:
+                return first
+            stop = page.find(">", at)
 
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of every text block in page order."""
-    root = here = _Node("", "", None, False, False)
+
+def read(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """All block elements in page order, and (element, text, characters in links) of every text block."""
+    root = here = _Node("", None, 0)
+    nodes, paths, open_ = [root], {}, {}
     found: list[tuple[_Node, str, int]] = []
     parts: list[str] = []
-    links = in_link = 0
+    links, in_link, at = 0, False, 0
+    last = {c: page.rfind(c) for c in "<>\"'"}
+    ends: dict[str, re.Pattern] = {}
 
     def close_block():
         nonlocal links
@@ -100,79 +161,79 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
             parts.clear()
         links = 0
 
-    at = 0
-    match = _TAG.search(page)
-    while match:
-        if match.start() > at:
-            piece = page[at : match.start()]
-            parts.append(piece)
-            if in_link:
-                links += len(piece)
-        at = match.end()
-        name = match[2] or match[5]
-        if name:
-            tag = name.lower()
-            closing = match[1] or match[4]
-            if tag == "br":
-                parts.append(" ")
-            elif tag in RAW:
-                if not closing:
-                    if tag in ("head", "title", "noscript", "template"):
-                        close_block()
-                    end = re.compile(f"</{tag}\\b[^>]*>", re.IGNORECASE).search(page, at)
-                    body = re.compile(r"<body\b", re.IGNORECASE).search(page, at) if tag == "head" else None
-                    if body and (not end or body.start() < end.start()):
-                        at = body.start()
-                    else:
-                        at = end.end() if end else len(page)
-            elif tag in INLINE:
-                if tag == "a":
-                    in_link = 0 if closing else 1
-            elif tag in VOID:
+    def leave(node):
+        """Close elements up to and including ``node``."""
+        nonlocal here
+        while True:
+            open_[here.tag] -= 1
+            done = here is node
+            here = here.parent
+            if done:
+                return
+
+    while at < len(page):
+        match = _MARKUP.search(page, at)
+        begin = match.start() if match else len(page)
+        if begin > at:
+            parts.append(page[at:begin])
+            links += begin - at if in_link else 0
+        if not match:
+            break
+        comment, section, other, closing, name = match.groups()
+        if not name:
+            mark = "-->" if comment else "]]>" if section else ">"
+            stop = page.find(mark, match.end())
+            if stop < 0 and other:
+                parts.append(page[begin : match.end()])
+                at = match.end()
+            else:
+                at = len(page) if stop < 0 else stop + len(mark)
+            continue
+        stop = _tag_end(page, match.end(), last)
+        if stop < 0:  # no tag is closed from here on
+            parts.append(page[begin:])
+            break
+        attributes, at, tag = page[match.end() : stop], stop + 1, name.lower()
+        if tag == "br":
+            parts.append(" ")
+        elif tag in RAW:
+            if not closing:
+                if tag in ("head", "title", "noscript", "template"):
+                    close_block()
+                if tag not in ends:
+                    ends[tag] = re.compile(f"</{tag}\\b[^>]*>" + ("|(?=<body\\b)" if tag == "head" else ""), re.IGNORECASE)
+                end = ends[tag].search(page, at)
+                at = end.end() if end else len(page)
+        elif tag in INLINE:
+            if tag == "a":
+                in_link = not closing
+        elif tag in VOID:
+            close_block()
+        elif closing:
+            if open_.get(tag):
                 close_block()
-            elif closing:
                 node = here
-                while node is not root and node.tag != tag:
+                while node.tag != tag:
                     node = node.parent
-                if node is not root:
-                    close_block()
-                    here = node.parent
-                elif tag == "p":
-                    close_block()
-                in_link = 0
-            else:
+                leave(node)
+            elif tag == "p":
                 close_block()
-                if tag in CLOSES_P:
-                    node = here
-                    while node is not root and node.tag not in ("p", "td", "th", "li", "article", "section", "div", "blockquote", "body"):
-                        node = node.parent
-                    if node.tag == "p":
-                        here = node.parent
-                if tag in SIBLINGS:
-                    ends, within = SIBLINGS[tag]
-                    node, last = here, None
-                    while node is not root and node.tag not in within:
-                        if node.tag in ends:
-                            last = node
-                        node = node.parent
-                    if last is not None:
-                        here = last.parent
-                here = _open(tag, match[3] or match[6] or "", here)
-                if (match[3] or match[6] or "").endswith("/") and tag not in CLOSES_P:
-                    here = here.parent
-        match = _TAG.search(page, at)
-    if at < len(page):
-        parts.append(page[at:])
+            in_link = False
+        else:
+            close_block()
+            if tag in CLOSES_P and here.paragraph is not None:
+                leave(here.paragraph)
+            if tag in KIND and KIND[tag] in here.scope:
+                leave(here.scope[KIND[tag]])
+            node = _open(tag, attributes, here, paths)
+            if tag in MAIN and "main" not in node.scope:
+                node.scope = node.scope | {"main": node}
+            nodes.append(node)
+            if not (attributes.endswith("/") and tag not in CLOSES_P):
+                here = node
+                open_[tag] = open_.get(tag, 0) + 1
     close_block()
-    return found
-
-
-def _path(node: _Node) -> tuple[str, ...]:
-    labels = []
-    while node.parent is not None:
-        labels.append(node.label)
-        node = node.parent
-    return tuple(reversed(labels))
+    return nodes, found
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -181,48 +242,72 @@ def _smooth(values: list[float]) -> list[float]:
     return [(values[max(0, i - 1)] + 2 * v + values[min(n - 1, i + 1)]) / 4 for i, v in enumerate(values)]
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page: its blocks joined by line feeds."""
-    found = [(node, _path(node), text, links) for node, text, links in blocks(page or "") if not node.outside]
-    if not found:
-        return ""
-    sums: dict[tuple, list[float]] = {}
-    for _, path, text, links in found:
-        s = sums.setdefault(path, [0, 0, 0, 0])
+def ratios(found: list[tuple[_Node, str, int]]) -> dict[int, tuple[float, float]]:
+    """The fused scores of every path: length and punctuation a block, less the share in links; smoothed, and its own."""
+    sums: dict[int, list[int]] = {}
+    for node, text, links in found:
+        s = sums.setdefault(node.path, [0, 0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_PUNCTUATION.findall(text))
         s[3] += min(links, len(text))
-    paths = list(dict.fromkeys(path for _, path, _, _ in found))
-    text_ratio = _smooth([sums[p][1] / sums[p][0] for p in paths])
-    mark_ratio = _smooth([sums[p][2] / sums[p][0] for p in paths])
-    inside = {p: node.within for node, p, _, _ in found}
-    # fused: length and punctuation per block, less what is links, more within <article> or <main>
-    score = {}
-    for p, a, b in zip(paths, text_ratio, mark_ratio, strict=True):
-        n, chars, _, links = sums[p]
-        score[p] = math.log1p(a) * (1 + math.log1p(b)) * (1 - links / chars) * n * (8 if inside[p] else 1)
-    if any(inside.values()):
-        score = {p: v if inside[p] else 0.0 for p, v in score.items()}
-    limit = THRESHOLD * sum(score.values()) / len(score)
-    held: dict[tuple, float] = {}
-    total = 0.0
-    for p, v in score.items():
-        if v >= limit:
-            total += v
-            for k in range(len(p)):
-                held[p[:k]] = held.get(p[:k], 0.0) + v
-    semantic = any(inside.values())
-    container: tuple = ()
-    if total and not semantic:
-        container = max((c for c, v in held.items() if v >= HOLD * total), key=len, default=())
-    kept = []
-    for _, path, text, links in found:
-        if semantic:
-            fits = inside[path]
-        else:  # lists of nothing but links are menus
-            fits = path[: len(container)] == container and not (links >= len(text) and any(x.startswith("li") for x in path[-1:]))
-        if fits:
+    length = [s[1] / s[0] for s in sums.values()]
+    marks = [s[2] / s[0] for s in sums.values()]
+    fused = lambda s, a, b: math.log1p(a) * (1 + math.log1p(b)) * (1 - 0.8 * s[3] / s[1])
+    places = zip(sums.items(), _smooth(length), _smooth(marks), length, marks, strict=True)
+    return {p: (fused(s, a, b), fused(s, c, d)) for (p, s), a, b, c, d in places}
+
+
+def _hold(nodes: list[_Node], weights: list[tuple[_Node, float]]) -> float:
+    """Sum up what every element holds; return all."""
+    for node in nodes:
+        node.held = 0.0
+    for node, w in weights:
+        node.held += w
+    for node in reversed(nodes[1:]):  # parents come before children
+        node.parent.held += node.held
+    return nodes[0].held
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page: its blocks joined by line feeds."""
+    nodes, found = read(page or "")
+    if not found:
+        return ""
+    path_score = ratios(found)
+    total = _hold(nodes, [(node, path_score[node.path][0] * len(text)) for node, text, _ in found])
+    inside = {id(nodes[0]): False}
+    for node in nodes[1:]:
+        own = 1.0 if node.held >= node.wrapping * total else node.factor
+        inside[id(node)] = inside[id(node.parent)] or node.tag in MAIN
+        if node.tag in MAIN and not inside[id(node.parent)]:
+            own *= WITHIN
+        node.factor = own * node.parent.factor
+    # neighbours vouch for a short block only where no name speaks against it
+    scores = [path_score[node.path][node.factor < 1] * node.factor for node, _, _ in found]
+    # what is only ever menus or footers is no article
+    if max(node.factor for node, _, _ in found) <= MUCH * WITHIN:
+        return ""
+    total = _hold(nodes, [(node, score * len(text)) for (node, text, _), score in zip(found, scores, strict=True)])
+    container = nodes[0]
+    for node in nodes:  # the last one in page order that holds enough is the innermost
+        if node.held >= HOLD * total:
+            container = node
+    up = container
+    while up is not None and up.tag not in MAIN:
+        up = up.parent
+    container = up or container
+    within = {id(container)}
+    for node in nodes[1:]:
+        if id(node.parent) in within:
+            within.add(id(node))
+    own = [(score, len(text)) for (node, text, _), score in zip(found, scores, strict=True) if id(node) in within]
+    limit = THRESHOLD * sum(s * n for s, n in own) / sum(n for _, n in own)
+    kept, before = [], True
+    for (node, text, _), score in zip(found, scores, strict=True):
+        if id(node) in within:
+            before = False
+        if score >= limit and (id(node) in within or (before and node.tag == "h1" and node.factor >= 1)):
             kept.append(text)
     return "\n".join(kept)
 

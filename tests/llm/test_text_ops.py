@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import brute
-from provena.llm import exact_dedup, fingerprints, html_text, mixing, packing, quality, secrets, substring_dedup
+from provena.llm import exact_dedup, fingerprints, mixing, packing, quality, secrets, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -327,24 +327,6 @@ def test_substring_index_over_loads(spark, tmp_path, monkeypatch):
     assert len(index._folders()) <= 3
 
 
-def test_main_text():
-    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
-    <nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- ad --><div class="ad">Buy this now, it is a very long advert, longer than all else, really.</div>
-    <article class="post"><header><h1>A &amp;  B&nbsp;&#8217;s</h1></header><p><b>Bold. x<br><p>Two&lt;p&gt; <i>it</i>alic</p><ul><li>one<li><a href=y>two</a></ul>
-    <aside>side</aside><div class="comments"><p>I agree, with this long comment, very much so.</p></div><form><p>mail</p></form></article>
-    <div class=sidebar>more</div><footer>&copy; x</footer></body></html>"""
-    assert html_text.extract(page) == "A & B ’s\nBold. x\nTwo<p> italic\none\ntwo"
-    plain = '<html><body><div id="menu"><a href="a">One</a> <a href="b">Two</a></div><div id="main-text"><h2>Head</h2><p>Some sentence, that is long enough. And more.</p><p>Another, with marks.</p></div><div class="footer">(c)</div></body></html>'
-    assert html_text.extract(plain) == "Head\nSome sentence, that is long enough. And more.\nAnother, with marks."
-    assert [html_text.extract(x) for x in (None, "", "<", "<p", "<nav>x</nav>", "<p>a < b</p>", "just text")] == ["", "", "<", "<p", "", "a < b", "just text"]
-
-
-def test_main_text_of_pages(spark, sf_dir):
-    got = html_text.op7_main_text(spark, sf_dir).collect()
-    assert len(got) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
-    assert all(r.n_chars == len(r.text) > 0 and "var t=" not in r.text and "©" not in r.text for r in got)
-
-
 def test_quality_held_out(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
