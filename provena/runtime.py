@@ -71,8 +71,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for plain scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Stored bytes of what ``df`` reads: the sizes of its leaves, where they are known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)  # a plan without statistics says 2**63 - 1
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
