@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from provena.llm import induced
 from provena.llm.buffers import blocks, mix, piece_digests, prefix, spans, string_buffer
-from provena.llm.ranges import batch_count, bounds, pack_sorted, range_of, unpack_sorted
-from provena.runtime import ship, shuffle_partitions
+from provena.llm.ranges import pack_sorted, parts_of, unpack_sorted
+from provena.runtime import ship
 
 LENGTH, GRAM = 200, 32
 BATCH_BYTES = 4 << 20
+#: Stored input a bucket: what one task merges and one shard sorts.
+BUCKET_BYTES = 16 << 20
 #: Bytes of tuples that a shard's queues hold before they go to disk.
 QUEUE_BYTES = 128 << 20
 #: Bytes of text that a shard sorts in one array; larger shards are cut by anchor.
@@ -306,10 +308,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
     spark = docs.sparkSession
     ship(spark)
-    n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cuts = bounds(rows.select("id"), "id", batch_count(docs, BATCH_BYTES))
-    dealt = rows.withColumn("batch", range_of(F.col("id"), cuts)).repartition(n, "batch")
+    batches, n = parts_of(docs, BATCH_BYTES, 2), parts_of(docs, BUCKET_BYTES)
+    # any documents make a batch, and rows that repeat an id are dealt by their texts
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int")).repartition(n, "batch")
     runs = dealt.groupBy("batch").applyInArrow(_runs(length, n), RUN)
     states = runs.groupBy("bucket").applyInArrow(_compare, REPLY)
     sent = dealt.groupBy("batch").cogroup(states.groupBy("batch")).applyInArrow(_send(length, n), SENT)

@@ -7,7 +7,9 @@ search. A document's fingerprint is drawn from the hashes of all its spans of
 GRAM bytes: the spans fall into SLOTS slots by hash, and each slot keeps its
 least hash in full, so that equal slots estimate the share of spans that two
 texts have in common however long they are. Only the least hash is cut to 16
-bits, after a remix: two different ones agree by chance once in 65536.
+bits, after a remix: two different ones agree by chance once in 65536. The same
+prefix arrays tell how far a text runs on as its edited text or the next document
+does: the longest common extension of their beginnings, in bytes.
 
 Defined results: a null or empty text has no span and the fingerprint of the
 empty text, which is alike (1.0) only to itself; a text shorter than GRAM bytes
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.buffers import BLOCK_BYTES, mix, row_of
-from provena.llm.ranges import LOW, bounds
-from provena.runtime import ship, shuffle_partitions
+from provena.llm.buffers import BLOCK_BYTES, mix
+from provena.llm.ranges import LOW, bounds, parts_of
+from provena.runtime import ship
 
 P = np.uint64(2**31 - 1)
 BASES = (1_103_515_245, 747_796_405)
 GRAM, SLOTS = 24, 64
+#: Stored input that one task orders, about.
+RANGE_BYTES = 32 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -81,55 +85,87 @@ class PrefixHashes:
             out = part if out is None else (out << np.uint64(31)) | part
         return out
 
-    def equal(self, i: int, j: int, length: int, other: PrefixHashes | None = None) -> bool:
-        other = other or self
-        return bool(self.spans(np.array([i]), np.array([i + length]))[0] == other.spans(np.array([j]), np.array([j + length]))[0])
+    def equal(self, i, j, length, other: PrefixHashes | None = None) -> np.ndarray:
+        """Whether the spans of ``length`` at i here and at j in ``other`` are equal; for arrays or numbers."""
+        i, j, length = (np.atleast_1d(np.asarray(x, np.int64)) for x in (i, j, length))
+        return self.spans(i, i + length) == (other or self).spans(j, j + length)
 
-    def longest_common_extension(self, i: int, j: int, other: PrefixHashes | None = None) -> int:
-        """Length of the longest common run that starts at i here and at j in ``other``, by binary search."""
+    def longest_common_extension(self, i, j, other: PrefixHashes | None = None, most=None) -> np.ndarray:
+        """Lengths (up to ``most``) of the longest common runs that start at i here and at j in ``other``, by binary search."""
         other = other or self
-        low, high = 0, min(self.n - i, other.n - j)
-        while low < high:
-            middle = (low + high + 1) // 2
-            if self.equal(i, j, middle, other):
-                low = middle
-            else:
-                high = middle - 1
-        return low
+        i, j = (np.atleast_1d(np.asarray(x, np.int64)) for x in (i, j))
+        high = np.minimum(self.n - i, other.n - j)
+        if most is not None:
+            high = np.minimum(high, most)
+        low = np.zeros_like(high)
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            middle = (low[open_] + high[open_] + 1) // 2
+            same = self.equal(i[open_], j[open_], middle, other)
+            low[open_[same]] = middle[same]
+            high[open_[~same]] = middle[~same] - 1
 
 
 EMPTY = np.uint16(0xFFFF)
 #: What a slot compares: the bits of a hash that do not name the slot.
 REST = np.uint64(2**58 - 1)
 NONE = np.uint64(2**64 - 1)
-
-
-def sketches(texts: list[bytes]) -> np.ndarray:
-    """(texts, SLOTS) 16 bits of the least hash per slot; EMPTY where a slot has no span."""
-    out = np.full((len(texts), SLOTS), EMPTY, np.uint16)
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (size == 0 or size + len(texts[last]) <= BLOCK_BYTES):
-            size += len(texts[last])
-            last += 1
-        data = np.frombuffer(b"".join(texts[first:last]), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[first:last]])]).astype(np.int64)
-        sizes = np.diff(offsets)
+#: Spans that are hashed in one step.
+PART = 1 << 21
+
+
+class Prints:
+    """Fingerprints of texts, and the prefix arrays that they are drawn from, in blocks of texts."""
+
+    def __init__(self, texts: list[bytes]):
+        #: (texts, SLOTS) 16 bits of the least hash per slot; EMPTY where a slot has no span
+        self.sketches = np.full((len(texts), SLOTS), EMPTY, np.uint16)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.block, self.start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        self.prefixes: list[PrefixHashes] = []
+        first = 0
+        while first < len(texts):
+            last = first + 1
+            while last < len(texts) and self.size[first : last + 1].sum() <= BLOCK_BYTES:
+                last += 1
+            self._block(texts, first, last)
+            first = last
+
+    def _block(self, texts: list[bytes], first: int, last: int) -> None:
+        prefix = PrefixHashes(np.frombuffer(b"".join(texts[first:last]), np.uint8))
+        sizes = self.size[first:last]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.block[first:last], self.start[first:last] = len(self.prefixes), offsets[:-1]
+        self.prefixes.append(prefix)
         grams = np.where(sizes > 0, np.maximum(sizes - GRAM + 1, 1), 0)
         goffsets = np.concatenate([[0], np.cumsum(grams)])
-        row = row_of(goffsets)
-        starts = np.arange(goffsets[-1]) - goffsets[row] + offsets[row]
-        ends = np.minimum(starts + GRAM, offsets[row + 1])
-        h = mix(PrefixHashes(data).spans(starts, ends))
-        slot = (h >> np.uint64(58)).astype(np.int64)  # SLOTS = 2**6
         least = np.full((last - first) * SLOTS, NONE)
-        np.minimum.at(least, row * SLOTS + slot, h & REST)
+        for at in range(0, int(goffsets[-1]), PART):  # a very long text in parts
+            place = np.arange(at, min(at + PART, int(goffsets[-1])))
+            row = np.searchsorted(goffsets, place, "right") - 1
+            starts = place - goffsets[row] + offsets[row]
+            h = mix(prefix.spans(starts, np.minimum(starts + GRAM, offsets[row + 1])))
+            slot = (h >> np.uint64(58)).astype(np.int64)  # SLOTS = 2**6
+            np.minimum.at(least, row * SLOTS + slot, h & REST)
         value = (mix(least) >> np.uint64(48)).astype(np.uint16)
         value[value == EMPTY] = 0xFFFE
-        out[first:last] = np.where(least == NONE, EMPTY, value).reshape(-1, SLOTS)
-        first = last
-    return out
+        self.sketches[first:last] = np.where(least == NONE, EMPTY, value).reshape(-1, SLOTS)
+
+    def common(self, other: Prints, at: np.ndarray) -> np.ndarray:
+        """Bytes that each text here and text ``at`` of ``other`` begin with alike."""
+        out = np.zeros(len(self.size), np.int64)
+        pair = self.block * len(other.prefixes) + other.block[at]
+        for p in np.unique(pair):
+            rows = np.flatnonzero(pair == p)
+            here, there = self.prefixes[p // len(other.prefixes)], other.prefixes[p % len(other.prefixes)]
+            out[rows] = here.longest_common_extension(self.start[rows], other.start[at[rows]], there, np.minimum(self.size[rows], other.size[at[rows]]))
+        return out
+
+
+def sketches(texts: list[bytes]) -> np.ndarray:
+    return Prints(texts).sketches
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,7 +186,7 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 
 def _fingerprint(batches):
@@ -161,13 +197,15 @@ def _fingerprint(batches):
         nexts = [*texts[1:], following]
         edited = [edit(a, b) for a, b in zip(texts, nexts, strict=True)]
         raw = [e.encode() for e in edited]
-        own = sketches([t.encode() for t in [*texts, following]])
-        other = sketches(raw)
+        prints, changed = Prints([t.encode() for t in [*texts, following]]), Prints(raw)
+        own, other = prints.sketches, changed.sketches
+        places = np.arange(len(rows))
         cols = [
             [i for i, _ in rows], [len(t) for t in texts], [hashlib.sha256(e).hexdigest() for e in raw],
             [text_of(x) for x in own[:-1]], [text_of(x) for x in other], likeness(own[:-1], other), likeness(own[:-1], own[1:]),
+            changed.common(prints, places), prints.common(prints, np.append(places + 1, len(rows)))[:-1],
         ]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     part, rows, size = None, [], 0
@@ -221,10 +259,10 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: its own fingerprint, its edited text's, and how alike they are."""
+    """One row per document: its own fingerprint, its edited text's, how alike they are, and the bytes they begin with alike."""
     spark = docs.sparkSession
     ship(spark)
-    n = shuffle_partitions(spark)
+    n = parts_of(docs, RANGE_BYTES)
     dealt = with_next(docs, 4 * n).repartition(n, "part")
     ordered = dealt.sortWithinPartitions("part", "ahead", F.coalesce("key", F.lit(LOW)).desc(), "text")
     return ordered.select("part", "ahead", "key", "text").mapInArrow(_fingerprint, SCHEMA)

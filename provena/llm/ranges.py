@@ -12,13 +12,9 @@ from provena.runtime import plan_bytes, shuffle_partitions
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def batch_count(docs: DataFrame, batch_bytes: int) -> int:
-    """How many ranges give about ``batch_bytes`` of stored input each: 2 to 64 a shuffle partition.
-
-    The upper end also holds where the plan's size is not known.
-    """
-    n = shuffle_partitions(docs.sparkSession)
-    return max(2 * n, min(64 * n, plan_bytes(docs) // batch_bytes))
+def parts_of(docs: DataFrame, part_bytes: int, least: int = 1) -> int:
+    """Parts of about ``part_bytes`` of stored input each; at least ``least`` a shuffle partition."""
+    return max(least * shuffle_partitions(docs.sparkSession), plan_bytes(docs) // part_bytes)
 
 
 def bounds(ids: DataFrame, column: str, ranges: int) -> np.ndarray:
@@ -26,10 +22,34 @@ def bounds(ids: DataFrame, column: str, ranges: int) -> np.ndarray:
     at = [k / ranges for k in range(1, ranges)]
     if not at:
         return np.zeros(0, np.int64)
-    found = ids.agg(F.percentile_approx(column, at, 100 * ranges)).first()[0]
+    found = ids.agg(F.percentile_approx(column, at, 20 * ranges)).first()[0]
     return np.array(sorted(set(found or [])), np.int64)
 
 
+#: Finer ranges that are weighed for each batch.
+FINER = 8
+
+
+def even_bounds(rows: DataFrame, column: str, text: str, ranges: int) -> np.ndarray:
+    """Increasing ids that cut the rows into about ``ranges`` ranges of equal bytes of text.
+
+    Fine ranges of equal rows are weighed and joined up; where texts are very
+    long, a fine range is a range of its own. Only bounds and sums reach the driver.
+    """
+    fine = bounds(rows, column, FINER * ranges)
+    weighed = rows.groupBy(range_of(F.col(column), fine).alias("range")).agg(F.sum(F.octet_length(text)).alias("n")).collect()
+    size = np.zeros(len(fine) + 1, np.int64)
+    for r in weighed:
+        size[r["range"]] = r["n"] or 0
+    share, held, cuts = size.sum() / ranges, 0, []
+    for k, bound in enumerate(fine.tolist()):
+        held += size[k]
+        if held + size[k + 1] > share:  # the next fine range would be too much
+            cuts.append(bound)
+            held = 0
+    return np.array(cuts, np.int64)
+
+
 def range_of(column: Column, cuts: np.ndarray) -> Column:
     """Index of the range (cuts[j-1], cuts[j]] that an id falls in; a null id falls in the last."""
 

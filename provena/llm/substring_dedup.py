@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.buffers import blocks, ngrams, row_of, string_buffer, word_hashes, words
-from provena.llm.ranges import HIGH, batch_count, bounds, pack_sorted, range_of, unpack_sorted
-from provena.runtime import materialise, scratch_path, ship, shuffle_partitions
+from provena.llm.ranges import HIGH, even_bounds, pack_sorted, parts_of, range_of, unpack_sorted
+from provena.runtime import materialise, scratch_path, ship
 
 WINDOW = 13
 #: Input bytes of a batch, as stored.
 BATCH_BYTES = 4 << 20
+#: Stored input a bucket: what one task merges.
+BUCKET_BYTES = 16 << 20
 #: Bytes of the check hash that verifies a match of the 64-bit hashes.
 CHECK_BYTES = 3
 #: Runs that an index holds before they are compacted.
@@ -217,10 +219,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintInde
     """doc_id, n_words, n_removed and the kept text of every row; the load is added to ``index`` if given."""
     spark = docs.sparkSession
     ship(spark)
-    n = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    batches = batch_count(docs, BATCH_BYTES)
-    cuts = bounds(rows.select("id"), "id", batches)
+    cuts = even_bounds(rows, "id", "text", parts_of(docs, BATCH_BYTES, 2))
+    n = parts_of(docs, BUCKET_BYTES)
     buckets = index.buckets if index else n
     dealt = rows.withColumn("batch", range_of(F.col("id"), cuts)).repartition(n, "batch")
     runs = dealt.groupBy("batch").applyInArrow(_runs(window, buckets), RUN)

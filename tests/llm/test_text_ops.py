@@ -356,7 +356,55 @@ def test_prefix_hashes():
         want = 0
         while i + want < len(a) and j + want < len(b) and a[i + want] == b[j + want]:
             want += 1
-        assert x.longest_common_extension(i, j, y) == want
+        assert x.longest_common_extension(i, j, y) == [want] and x.equal(i, j, want, y).all()
+
+
+def plain_print(text):
+    """The fingerprint of a text, span by span."""
+    primes, out = (2**31 - 1,) * 2, [None] * 64
+    for at in range(max(len(text) - 23, 1) if text else 0):
+        span = text[at : at + 24]
+        h = 0
+        for p, base in zip(primes, fingerprints.BASES, strict=True):
+            h = h << 31 | sum((c + 1) * pow(base, k, p) for k, c in enumerate(span)) % p
+        h = splitmix(h)
+        slot, rest = h >> 58, h & (2**58 - 1)
+        out[slot] = rest if out[slot] is None else min(out[slot], rest)
+    return "".join(f"{0xFFFF if x is None else min(splitmix(x) >> 48, 0xFFFE):04x}" for x in out)
+
+
+def splitmix(x):
+    x = x + 0x9E3779B97F4A7C15 & 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 2**64 - 1
+    return x ^ x >> 31
+
+
+def begin_alike(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def alike(a, b):
+    pairs = [(a[k : k + 4], b[k : k + 4]) for k in range(0, 256, 4)]
+    pairs = [p for p in pairs if p != ("ffff", "ffff")]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    docs = [(i, "".join(chr(x) for x in rng.integers(97, 500, rng.integers(0, 200)))) for i in range(25)]
+    docs += [(30, docs[3][1]), (31, None), (32, ""), (33, docs[3][1] + " and more"), (None, "last"), (40, "x"), (41, "y" * 3000)]
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0), reverse=True)
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(got) == len(docs)
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        text, following = text or "", following or ""
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        own, other, ahead = (plain_print(t.encode()) for t in (text, edited, following))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own, other)
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(own, other), alike(own, ahead)))
+        assert (r.common_edited, r.common_next) == (begin_alike(text.encode(), edited.encode()), begin_alike(text.encode(), following.encode()))
 
 
 def test_fingerprints(spark, sf_dir):
