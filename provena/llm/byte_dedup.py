@@ -15,7 +15,8 @@ same anchor groups all occurrences of a string under one anchor hash, so:
 
 All occurrences of a string are compared by 128 bits of hashes in step 1 and
 byte by byte in step 2; only text that shares an anchor is sorted, so shards
-stay far smaller than the corpus, and a shard larger than memory spills.
+stay far smaller than the corpus. The arrays and queues of a shard go to disk
+beyond QUEUE_BYTES, however many strings share its anchor.
 
 Defined results: a null or empty text, or one shorter than LENGTH, keeps all
 bytes; overlapping repeats within a text count; strings are judged on the input;
@@ -42,10 +43,10 @@ LENGTH, GRAM = 200, 32
 BATCH_BYTES = 4 << 20
 #: Stored input a bucket: what one task merges and one shard sorts.
 BUCKET_BYTES = 16 << 20
-#: Bytes of tuples that a shard's queues hold before they go to disk.
-QUEUE_BYTES = 128 << 20
-#: Bytes of text that a shard sorts in one array; larger shards are cut by anchor.
-SORT_BYTES = 2 << 20
+#: Bytes that the sorting of a shard holds in memory before arrays and queues go to disk.
+QUEUE_BYTES = 96 << 20
+#: Bytes of text that are sorted as one shard at least; the strings of one anchor are never parted.
+SORT_BYTES = 4 << 20
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -206,11 +207,13 @@ def _send(length: int, buckets: int):
 def repeated(pieces: list[np.ndarray], length: int = LENGTH, memory: int = QUEUE_BYTES) -> list[np.ndarray]:
     """For every piece: whether each of its strings of ``length`` bytes also starts elsewhere in the pieces."""
     text = np.concatenate([x for p in pieces for x in (p.astype(np.int16) + 2, np.ones(1, np.int16))] + [np.zeros(1, np.int16)])
-    order, common = induced.suffix_array(text, cap=length, memory=memory)
-    found = common >= length
-    found[:-1] |= common[1:] >= length
     again = np.zeros(len(text), bool)
-    again[order] = found
+    before = 0
+    for positions, common in induced.sorted_suffixes(text, length, induced.Space(memory)):
+        found = common >= length
+        again[positions[found]] = True
+        again[np.append(before, positions[:-1])[found]] = True  # a suffix and its neighbour repeat each other
+        before = positions[-1]
     out, at = [], 0
     for p in pieces:
         out.append(again[at : at + max(0, len(p) - length + 1)])
@@ -322,3 +325,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True
 def op6_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that a repeated 200-byte string covers, removed."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False).drop("kept")
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d WHERE octet_length(b) >= {LENGTH})),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+s AS (SELECT doc_id, run, min(i) AS first, max(i) + {LENGTH - 1} AS last FROM g GROUP BY 1, 2),
+t AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0) AS done FROM s),
+k AS (SELECT doc_id, sum(last - first + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(last) AS done, string_agg(CASE WHEN first > done + 1 THEN hex(array_slice(b, done + 1, first - 1)) ELSE '' END, '' ORDER BY first) AS kept FROM t JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || CASE WHEN octet_length(b) > coalesce(done, 0) THEN hex(array_slice(b, coalesce(done, 0) + 1, octet_length(b))) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

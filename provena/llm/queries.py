@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op10_near_dedup": near_dedup.OP10_SQL}
+    return {"op1_secret_scan": secrets.OP1_SQL, "op2_substring_dedup": substring_dedup.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op6_byte_dedup": byte_dedup.OP6_SQL, "op10_near_dedup": near_dedup.OP10_SQL}
