@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _SCRATCH: dict[str, list[str]] = {}
@@ -85,6 +85,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def integer_id(docs: DataFrame, id_col: str) -> Column:
+    """The ids as long; other types are refused, for a cast would make them null."""
+    kind = docs.select(docs[id_col]).dtypes[0][1]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must be of an integer type, not {kind}")
+    return docs[id_col].cast("long")
+
+
 _SHIPPED: set[str] = set()
 
 
