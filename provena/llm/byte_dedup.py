@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from provena.llm import induced
 from provena.llm.buffers import blocks, mix, piece_digests, prefix, spans, string_buffer
 from provena.llm.ranges import pack_sorted, parts_of, unpack_sorted
-from provena.runtime import ship
+from provena.runtime import integer_id, ship
 
 LENGTH, GRAM = 200, 32
 BATCH_BYTES = 4 << 20
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(integer_id(docs, id_col).alias("id"), docs[text_col].alias("text"))
     batches, n = parts_of(docs, BATCH_BYTES, 2), parts_of(docs, BUCKET_BYTES)
     # any documents make a batch, and rows that repeat an id are dealt by their texts
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).cast("int")).repartition(n, "batch")

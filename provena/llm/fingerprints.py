@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from provena.llm.buffers import BLOCK_BYTES, mix
 from provena.llm.ranges import LOW, bounds, parts_of
-from provena.runtime import ship
+from provena.runtime import integer_id, ship
 
 P = np.uint64(2**31 - 1)
 BASES = (1_103_515_245, 747_796_405)
@@ -236,7 +236,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     The bounds of the ranges are ids that occur, so that the document after a
     range is known beforehand; only the bounds reach the driver.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("text"))
+    rows = docs.select(integer_id(docs, "doc_id").alias("key"), docs["text"].alias("text"))
     keys = rows.select(F.coalesce("key", F.lit(LOW)).alias("key"))
     top = keys.agg(F.max("key")).first()[0]
     if top is None:

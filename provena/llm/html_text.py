@@ -29,7 +29,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.runtime import ship
+from provena.runtime import integer_id, ship
 
 _MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 _QUOTE = re.compile("[\"']")
@@ -324,7 +324,7 @@ def _extract(batches):
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row; one pass over the rows, no shuffle."""
     ship(pages.sparkSession)
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
+    rows = pages.select(integer_id(pages, id_col).alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     return rows.mapInArrow(_extract, SCHEMA)
 
 

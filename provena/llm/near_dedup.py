@@ -36,13 +36,13 @@ from provena.llm.buffers import LOWER, blocks, mix, ngrams, row_of, string_buffe
 from provena.llm.links import components
 from provena.llm.ranges import HIGH, pack_sorted, unpack_sorted
 from provena.operators.skew import salted_join
-from provena.runtime import materialise, ship
+from provena.runtime import integer_id, materialise, ship
 
 PERMUTATIONS, PER_BAND = 64, 2
 BANDS = PERMUTATIONS // PER_BAND
 #: Candidates whose signatures agree in a smaller share are no links: at a similarity
-#: of 0.8 the share is below this with probability 1e-6 (128 values, deviation 0.035).
-LIKELY = 0.64
+#: of 0.8 the share is below this with probability 1e-8 (128 values, deviation 0.035).
+LIKELY = 0.6
 #: Members of a bucket that one task compares; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
 
@@ -274,7 +274,7 @@ class _Graph:
         # members of buckets with more than one node; both sides are plain tables, so a hot bucket's rows can be split at run time
         self.members = materialise(buckets.join(stats.hint("merge"), "key"), "members")
         wanted = self.members.select("node").distinct().join(self.nodes.select("node", "label"), "node").select(F.col("label").alias("__label")).distinct()
-        ids = F.coalesce(docs["doc_id"].cast("long"), F.lit(HIGH))
+        ids = F.coalesce(docs["doc_id"], F.lit(HIGH))
         texts = docs.select(ids.alias("__label"), docs["text"].alias("text")).join(wanted, "__label", "left_semi")
         found = texts.select("text").mapInArrow(_sets(n), "node binary, members binary")
         self.sets = materialise(found.dropDuplicates(["node"]), "sets")
@@ -329,7 +329,7 @@ class _Graph:
 def group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row, for shingles of ``n`` words."""
     ship(docs.sparkSession)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    docs = docs.select(integer_id(docs, id_col).alias("doc_id"), docs[text_col].alias("text"))
     ids = F.coalesce(F.col("doc_id"), F.lit(HIGH))
     rows = materialise(docs.select(ids.alias("doc_id"), "text").mapInArrow(_sign(n), ROWS), "signed")
     named = _Graph(rows, docs, n, percent).solve()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.runtime import ship
+from provena.runtime import integer_id, ship
 
 WINDOW = 1024
 END_ID = 0
@@ -193,7 +193,7 @@ def _pack(path: str, ranks_path: str | None, window: int, id_type: pa.DataType):
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents: where each lies in its document and in its sequence."""
     ship(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(integer_id(docs, id_col).alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(_pack(tokenizer_path, ranks_path, window, pa.int64()), PIECES)
 
 

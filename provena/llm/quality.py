@@ -9,9 +9,10 @@ neighbours vote, weighted by similarity.
 
 Defined results: a null or empty text has no terms and gets the sample's mean
 label; without labelled rows every score is 0.5; labelled rows that tie for the
-sample are chosen by a hash of their id; a row whose label is null or that has
-two different labels is not learnt from; an empty table gives no rows; other
-columns are ignored, whatever their names.
+sample are chosen by a hash of their id; an id whose label is null, or that has
+two different labels or two different texts, is not learnt from; repeated rows
+are scored each and learnt from once; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.buffers import blocks, mix, row_of, string_buffer, word_hashes, words
-from provena.runtime import ship
+from provena.runtime import integer_id, ship
 
 #: Labelled rows of each class that are learnt from, at most.
 PER_CLASS = 1500
@@ -138,9 +139,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     # bounded by 2 * per_class rows
     sample = [known.where(F.col("label") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
     sample = F.broadcast(sample[0].unionAll(sample[1]))
-    texts = docs.select(docs["doc_id"].alias("__doc"), docs["text"].alias("text"))  # no other column can clash
-    rows = texts.join(sample, F.col("__doc") == F.col("__id")).select("label", "text", "__id")
-    rows = rows.dropDuplicates(["__id"]).select("label", "text").mapInArrow(_terms, "terms binary, label int").collect()
+    texts = docs.select(docs["doc_id"].alias("__doc"), F.coalesce(docs["text"], F.lit("")).alias("text"))  # no other column can clash
+    rows = texts.join(sample, F.col("__doc") == F.col("__id")).groupBy("__id", "label").agg(F.min("text").alias("text"), F.max("text").alias("other"))
+    rows = rows.where("text = other").select("label", "text").mapInArrow(_terms, "terms binary, label int").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["terms"])))
     x = np.array([np.frombuffer(r["terms"], np.float16) for r in rows], np.float32).reshape(-1, TERMS)
     return fit(x, np.array([r["label"] for r in rows]))
@@ -159,7 +160,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(integer_id(docs, id_col).alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from provena.llm.buffers import blocks, ngrams, row_of, string_buffer, word_hashes, words
 from provena.llm.ranges import HIGH, even_bounds, pack_sorted, parts_of, range_of, unpack_sorted
-from provena.runtime import materialise, scratch_path, ship
+from provena.runtime import integer_id, materialise, scratch_path, ship
 
 WINDOW = 13
 #: Input bytes of a batch, as stored.
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintInde
     """doc_id, n_words, n_removed and the kept text of every row; the load is added to ``index`` if given."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(integer_id(docs, id_col).alias("id"), docs[text_col].alias("text"))
     cuts = even_bounds(rows, "id", "text", parts_of(docs, BATCH_BYTES, 2))
     n = parts_of(docs, BUCKET_BYTES)
     buckets = index.buckets if index else n

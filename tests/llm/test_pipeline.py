@@ -1,5 +1,8 @@
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 import brute
 import corpus_pipeline
 from provena.llm import exact_dedup, mixing, quality
@@ -43,6 +46,22 @@ def test_stages_match_brute_force(spark, sf_dir):
     assert check_packing([(r.doc_id, r.text) for r in drawn.collect()], pieces.collect()) == 0
 
 
+def test_odd_tables(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("kept", F.lit(True)).withColumn("topic", F.lit(None).cast("string"))
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, "A lost text. " * 30, None, None, None, True, None), (5, None, "en", "a", 0, True, None), (5, "", "en", "a", 0, True, None)], docs.schema))
+    for name, rows in (("odd", docs.unionByName(odd)), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, at, f"{tmp_path}/{name}").columns == docs.columns
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").count()
+        assert (got > 0) == (name == "odd")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/odd/labels.parquet")
+    with pytest.raises(ValueError):
+        corpus_pipeline.quality_filter(spark, docs, f"{tmp_path}/odd")
+
+
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 0 and got.agg({"length": "max"}).first()[0] <= 1024

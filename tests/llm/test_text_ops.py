@@ -347,6 +347,38 @@ def test_quality_odd_rows(spark, sf_dir):
     assert quality.score(odd(spark).limit(0), model).count() == 0
 
 
+def test_votes_match_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = [t for _, t in rows(spark, sf_dir)][:40] + ["", "x" * 200_000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    x = quality.terms(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    for got, row in zip(model.score(x), x, strict=True):
+        v = sum(float(a * w) * axis.astype(float) for a, w, axis in zip(row, model.weights, model.axes, strict=True))
+        near = sorted(((float(v @ u) / max(np.linalg.norm(v), 1e-12), y) for u, y in zip(model.vectors.astype(float), model.labels, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0.0) ** quality.POWER, y) for c, y in near]
+        want = sum(w * y for w, y in votes) / sum(w for w, _ in votes) if row.any() else model.labels.mean()
+        assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_quality_ids_with_two_texts_are_not_learnt(spark):
+    docs = [(k, f"text {k} of some kind") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    learnt = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    plain = quality.learn(frame(docs), labels)
+    assert len(plain.labels) == len(learnt)
+    assert len(quality.learn(frame(docs * 2), labels).labels) == len(learnt)
+    assert len(quality.learn(frame([*docs, (learnt[0], "another")]), labels).labels) == len(learnt) - 1
+
+
+def test_ids_of_other_types_are_refused(spark):
+    frame = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for run in (substring_dedup.remove_repeats, fingerprints.fingerprint_documents, lambda d: packing.pack_documents(d, *packing.public_paths())):
+        with pytest.raises(TypeError):
+            run(frame)
+
+
 def test_prefix_hashes():
     rng = np.random.default_rng(2)
     a = rng.integers(97, 100, 400).astype(np.uint8)
