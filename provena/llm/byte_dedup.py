@@ -39,7 +39,7 @@ from provena.llm.buffers import blocks, mix, piece_digests, prefix, spans, strin
 from provena.llm.ranges import pack_sorted, parts_of, unpack_sorted
 from provena.runtime import integer_id, ship
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 BATCH_BYTES = 4 << 20
 #: Stored input a bucket: what one task merges and one shard sorts.
 BUCKET_BYTES = 16 << 20
