@@ -21,6 +21,7 @@ EXAMPLE_RULES = (
     (rf"(?i)\bEx\.?\s*{_NUMBERS}\b", "E", "numbers"),
     (r"\b([CEI]\d+)(?:[A-Z]\d+)?\b", "", "plain"),
     (r"(?i)\b([CEI])\s*(\d+)\b", "", "two"),
+    (r"(?i)used\s*for\s*([CI]?\d+)", "", "used"),
     (r"(?i)\bVergleichsbeispiel\s+(\d+|[A-Z])\b", "C", "plain"),
     (r"(?i)\bBeispiel\s+(\d+|[A-Z])\b", "E", "plain"),
     (r"(?i)^\s*Comparative\s*$", "C", "one"),
@@ -43,6 +44,8 @@ def example_id(text: Column) -> Column:
             got_id = F.concat(F.lit(prefix), name)
         elif how == "two":
             got_id = F.concat(F.upper(got), F.regexp_extract(value, pattern, 2))
+        elif how == "used":  # a scanned I reads as 1
+            got_id = F.when(got.rlike("^1"), F.concat(F.lit("I"), F.substring(got, 2, 1000))).otherwise(F.upper(got))
         else:
             got_id = F.concat(F.lit(prefix), got)
         out = F.when(value.rlike(pattern), got_id) if out is None else out.when(value.rlike(pattern), got_id)
@@ -260,3 +263,73 @@ def expand_query(query: str, concepts: Mapping[str, Sequence[str]], most: int =
 def budget(request: Mapping[str, int], policy: Mapping[str, int]) -> tuple[dict[str, int], list[str]]:
     """The service's retrieval budget over the requested one, with what was changed (PRJ-32)."""
     return dict(policy), [f"{k}: {request[k]} -> {v}" for k, v in policy.items() if k in request and request[k] != v]
+
+
+#: The names under which material slots come.
+SLOTS = {
+    "resin": ("resin", "resins", "binder", "binders"), "curing_agent": ("curing_agent", "curing_agents", "crosslinker", "crosslinkers", "hardener", "hardeners"),
+    "pigment": ("pigment", "pigments"), "filler": ("filler", "fillers"), "additive": ("additive", "additives"), "solvent": ("solvent", "solvents"),
+    "catalyst": ("catalyst", "catalysts"), "tackifier": ("tackifier", "tackifiers"), "plasticizer": ("plasticizer", "plasticizers"), "wax": ("wax", "waxes"),
+    "antioxidant": ("antioxidant", "antioxidants"), "reactive_diluent": ("reactive_diluent", "reactive_diluents"), "monomer": ("monomer", "monomers"),
+    "biocide": ("biocide", "biocides"), "photoinitiator": ("photoinitiator", "photoinitiators"), "initiator": ("initiator", "initiators"),
+    "neutralizer": ("neutralizer", "neutralizers"), "polyol": ("polyol", "polyols"), "resin_precursor": ("resin_precursor", "resin_precursors"),
+    "material": ("material", "materials", "material_roles"), "component": ("component", "components"),
+}
+
+
+def material_slot(raw: Column, slot: str) -> Column:
+    """Distinct values of a slot of a raw JSON record under any of its names, at the top and then in ``formulation`` (PRJ-02)."""
+    parts = []
+    for place in ("$.", "$.formulation."):
+        for name in SLOTS[slot]:
+            v = F.get_json_object(raw, place + name)
+            listed = F.from_json(v, "array<string>")
+            parts.append(F.when(v.startswith("["), listed).when(F.coalesce(v, F.lit("")) != "", F.array(v)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*parts))
+
+
+def full_projection(rows: DataFrame, key: str, parts: Mapping[str, DataFrame], provenance: Column) -> DataFrame:
+    """key, the whole row as JSON, an array of whole rows of every part, and where it came from: nothing is left out (PRJ-04).
+
+    A part's rows of one key are collected, sorted as JSON; a key without rows has an empty array.
+    """
+    out = rows.select(key, F.to_json(F.struct("*")).alias("raw"), provenance.alias("provenance"))
+    for name, part in parts.items():
+        own = part.groupBy(key).agg(F.array_sort(F.collect_list(F.to_json(F.struct(*[c for c in part.columns if c != key])))).alias(name))
+        out = out.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
+def coerce_fact(resin: Column, additives: Column, substrate: Column, method: Column, standard: Column) -> dict[str, Column]:
+    """A raw fact's fields as the schema wants them, and what was changed (PRJ-19).
+
+    ``resin`` and ``additives`` are arrays: the first resin stays, the rest become
+    additives. A substrate is the tested one. A standard is kept, or read from a
+    method such as ``ISO_9227``; a method that is nothing else goes.
+    """
+    none = F.array().cast("array<string>")
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, none), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    names, more = clean(resin), clean(additives)
+    body = F.trim(F.coalesce(substrate, F.lit("")))
+    tested = F.when(~body.isin("", "unknown"), body)
+    rule = r"(?i)(?:^|_)(ISO|ASTM|DIN|GB|JIS)_?([A-Z]?[0-9]+[A-Z0-9]*)"
+    named = F.when(method.rlike(rule), F.upper(F.concat_ws(" ", F.regexp_extract(method, rule, 1), F.regexp_extract(method, rule, 2))))
+    only = method.rlike(r"(?i)^(ISO|ASTM|DIN|GB|JIS)_?[A-Z]?[0-9]+[A-Z0-9]*$")
+    done = lambda holds, field, action: F.when(holds, F.struct(F.lit(field).alias("field"), F.lit(action).alias("action")))
+    changes = F.array_compact(F.array(done(F.size(names) > 0, "resin_system", "list_first_item_to_resin_system_rest_to_additives"), done(tested.isNotNull(), "substrate", "string_to_tested_substrate")))
+    return {
+        "resin_system": F.try_element_at(names, F.lit(1)), "additives": F.array_distinct(F.concat(more, F.slice(names, 2, 1 << 20))), "tested_substrate": tested,
+        "standard_id": F.coalesce(F.nullif(F.trim(standard), F.lit("")), named), "test_method": F.when(~F.coalesce(only, F.lit(False)), method), "schema_coercions": changes,
+    }
+
+
+def route_log(units: DataFrame, unit: str, doc: str, route: Column, subject: Column, description: Column) -> DataFrame:
+    """Rows of the audit log of routes: confidence with two places, the first 200 characters of the description on one line (QA-04).
+
+    ``route`` is the struct that ``unit_route`` gives. Append them with ``sinks.append_csv``.
+    """
+    excerpt = F.translate(F.substring(F.coalesce(description, F.lit("")), 1, 200), "\n\r", "  ")
+    return units.select(
+        F.col(unit).alias("unit_id"), F.col(doc).alias("doc_id"), route["route"].alias("route"), route["reason"].alias("reason"),
+        F.format_string("%.2f", route["confidence"].cast("double")).alias("route_confidence"), F.coalesce(subject, F.lit("")).alias("normalized_subject"), excerpt.alias("description_excerpt"),
+    )

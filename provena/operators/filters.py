@@ -19,10 +19,17 @@ def cohort(rows: DataFrame, members: DataFrame, on: Sequence[str]) -> DataFrame:
     return rows.join(members.select(*on), list(on), "left_semi")
 
 
-def resolve_scope(docs: DataFrame, doc: str, text: Column, wanted: Sequence[str], explicit: Sequence | None = None) -> DataFrame:
+def scope_table(rows: DataFrame, doc: str, ids: DataFrame | Sequence) -> DataFrame:
+    """Document ids as a table of one column ``doc``; ids may be long lists, so they never enter a plan as literals."""
+    if isinstance(ids, DataFrame):
+        return ids.select(F.col(ids.columns[0]).alias(doc)).distinct()
+    return rows.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(ids)], rows.select(doc).schema)
+
+
+def resolve_scope(docs: DataFrame, doc: str, text: Column, wanted: Sequence[str], explicit: DataFrame | Sequence | None = None) -> DataFrame:
     """Documents whose text matches, within explicit ids if given; empty stays empty (FLT-14)."""
     found = docs.where(needle_in(text, wanted)).select(doc).distinct()
-    return found if explicit is None else found.where(F.col(doc).isin(list(explicit)))
+    return found if explicit is None else found.join(scope_table(docs, doc, explicit), doc, "left_semi")
 
 
 def material_group(materials: Column, values: Sequence[str] = (), roles: Sequence[str] = (), match: str = "any") -> Column:
@@ -81,9 +88,14 @@ def domain_gate(title: Column, abstract: Column, primary: Column, secondary: Col
     )
 
 
-def in_scope(doc: Column, object_doc: Column, scope: Sequence) -> Column:
-    """The candidate's document and the one in its qualified id both lie in scope (FLT-20)."""
-    return doc.isin(list(scope)) & (object_doc.isNull() | object_doc.isin(list(scope)))
+def in_scope(rows: DataFrame, doc: str, scope: DataFrame | Sequence, object_doc: str | None = None) -> DataFrame:
+    """Rows whose document, and the one in their qualified id if they have it, lie in scope (FLT-20)."""
+    ids = scope_table(rows, doc, scope)
+    out = rows.join(ids, doc, "left_semi")
+    if object_doc is None:
+        return out
+    inside = ids.withColumnRenamed(doc, "__scope")
+    return out.join(inside, F.col(object_doc).isNull() | (F.col(object_doc) == F.col("__scope")), "left_semi")
 
 
 def facet_state(hard: Sequence[Column], related: Sequence[Column]) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.functions.text import tokens
+
+
+#: A dictionary of so many aliases is small enough to be sent to all tasks.
+FEW_ALIASES = 100_000
+
 
 def closure(edges: DataFrame, facts: DataFrame, on: Sequence[str], fact_id: str, context: str, most: int) -> DataFrame:
     """Facts of each edge row with how they were found: by id, by source link, else by context up to ``most`` (JOIN-01 to JOIN-03, JOIN-07).
@@ -20,8 +27,10 @@ def closure(edges: DataFrame, facts: DataFrame, on: Sequence[str], fact_id: str,
     linked = linked.select("object_id", *on, fact_id, F.lit(2).alias("order"), F.lit("source_link").alias("match_mode"))
     both = direct.unionAll(linked)
     bare = edges.join(both.select("object_id").distinct(), "object_id", "left_anti")
-    by_context = bare.select("object_id", *on, context).join(facts, [*on, context])
-    by_context = by_context.withColumn("rn", F.row_number().over(Window.partitionBy("object_id").orderBy(fact_id))).where(F.col("rn") <= most)
+    # no edge takes more than the first ``most`` facts of a context, so a common context is cut before the join
+    first = facts.withColumn("rn", F.row_number().over(Window.partitionBy(*on, context).orderBy(fact_id))).where(F.col("rn") <= most).drop("rn")
+    by_context = bare.select("object_id", *on, context).join(first, [*on, context])
+    by_context = by_context.withColumn("rn", F.row_number().over(Window.partitionBy("object_id").orderBy(fact_id, *on))).where(F.col("rn") <= most)
     every = both.unionAll(by_context.select("object_id", *on, fact_id, F.lit(3).alias("order"), F.lit("context").alias("match_mode")))
     return every.groupBy("object_id", *on, fact_id).agg(F.min(F.struct("order", "match_mode"))["match_mode"].alias("match_mode"))
 
@@ -57,8 +66,9 @@ def mentions(texts: DataFrame, row_id: str, text: str, aliases: DataFrame) -> Da
     """Aliases in a text as whole words, longest first, one row per canonical id (JOIN-16).
 
     Runs of as many words as an alias has are joined with the aliases by equality,
-    so no text meets every alias; the driver sees the lengths that occur.
-    ``aliases``: alias_text, canonical_id.
+    so no text meets every alias; the driver sees the lengths that occur. Up to
+    FEW_ALIASES aliases are sent to the runs, so that only those that match are
+    shuffled; more are joined by sort and merge. ``aliases``: alias_text, canonical_id.
     """
     words = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = texts.select(row_id, words(text).alias("w"))
@@ -67,7 +77,10 @@ def mentions(texts: DataFrame, row_id: str, text: str, aliases: DataFrame) -> Da
     for n in sorted(r.n for r in sizes.collect()) or [1]:
         grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run_at(n))
         runs.append(rows.where(F.size("w") >= n).select(row_id, F.explode(F.array_distinct(grams)).alias("run")))
-    found = reduce(DataFrame.unionAll, runs).join(aliases.select(F.lower("alias_text").alias("run"), "canonical_id").distinct(), "run")
+    known = aliases.select(F.lower("alias_text").alias("run"), "canonical_id").distinct()
+    if known.limit(FEW_ALIASES + 1).count() <= FEW_ALIASES:
+        known = F.broadcast(known)
+    found = reduce(DataFrame.unionAll, runs).join(known, "run")
     longest = F.min(F.struct((-F.length("run")).alias("n"), "run"))
     return found.groupBy(row_id, "canonical_id").agg(longest["run"].alias("alias_text"))
 
@@ -128,6 +141,14 @@ def one_hop(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
     return out.unionAll(back)
 
 
+def token_recall(nodes: DataFrame, node_id: str, name: Column, text: Column, question: str, k: int = 10) -> DataFrame:
+    """The k nodes that share most words with a question, a name it holds counting two more (GRF-05)."""
+    asked = F.array(*map(F.lit, sorted(set(re.findall(r"\w{2,}", question.lower())))))
+    shared = F.size(F.array_intersect(tokens(text), asked))
+    score = shared + F.when(F.contains(F.lit(question.lower()), F.lower(name)), 2).otherwise(0)
+    return nodes.select(F.col(node_id).alias("node"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "node").limit(k)
+
+
 def edges_of(rows: DataFrame, edge_type: str, src: Column, dst: Column) -> DataFrame:
     """Edges with ids from the SHA-1 of type and ends (GRF-01)."""
     flat = rows.select(src.alias("src"), F.lit(edge_type).alias("edge_type"), dst.alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()

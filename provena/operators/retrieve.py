@@ -106,8 +106,8 @@ def expand_selection(pool: DataFrame, doc: str, limit: int = 30, first_docs: int
 
 
 def page(pool: DataFrame, offset: int, size: int, order: Sequence[Column]) -> DataFrame:
-    """A page of a stable pool with next_offset and has_more (TOP-14)."""
-    rows = pool.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    """A page of a stable pool with next_offset and has_more (TOP-14); only the rows up to its end are numbered."""
+    rows = pool.orderBy(*order).limit(offset + size).withColumn("position", F.row_number().over(Window.orderBy(*order)))
     total = pool.agg(F.count(F.lit(1)).alias("total"))
     out = rows.where((F.col("position") > offset) & (F.col("position") <= offset + size)).crossJoin(F.broadcast(total))
     more = F.col("total") > offset + size
@@ -162,6 +162,30 @@ def grouped_search(chunks: DataFrame, doc: str, chunk: str, per_doc: int, docs:
     return rows.where(F.col("spent") <= budget)
 
 
+def _equals(word: str):
+    return lambda w: w == word
+
+
+def bm25(chunks: DataFrame, chunk: str, text: Column, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``chunks`` with ``score``: BM25 of the terms, over all chunks (TOP-18).
+
+    Words are runs of letters and digits in lower case. Counts of the terms, the
+    number of chunks and their mean length are one row, which is sent to all.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    rows = chunks.withColumn("__w", words).withColumns({f"__f{i}": F.size(F.filter("__w", _equals(t))) for i, t in enumerate(wanted)})
+    rows = rows.withColumn("__size", F.size("__w")).drop("__w")
+    seen = [F.sum((F.col(f"__f{i}") > 0).cast("long")).alias(f"__n{i}") for i in range(len(wanted))]
+    stats = rows.agg(F.count(F.lit(1)).alias("__n"), F.avg("__size").alias("__mean"), *seen)
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        rarity = F.log(1 + (F.col("__n") - F.col(f"__n{i}") + 0.5) / (F.col(f"__n{i}") + 0.5))
+        score = score + rarity * F.col(f"__f{i}") * (k1 + 1) / (F.col(f"__f{i}") + k1 * (1 - b + b * F.col("__size") / F.col("__mean")))
+    scored = rows.crossJoin(F.broadcast(stats)).withColumn("score", F.round(F.coalesce(score, F.lit(0.0)), 6))
+    return scored.select(*chunks.columns, "score")
+
+
 def vocabulary(values: DataFrame, query: str) -> DataFrame:
     """Exact before related before browse, then dimension and value (TOP-22). ``values``: dimension, value."""
     low, q = F.lower("value"), query.lower()

@@ -66,11 +66,11 @@ def table_role(t):
     return g.select("l_orderkey", X.table_role(head, F.lit(""), F.col("col"), F.when(F.col("hint"), "Test results of").otherwise("Table"), ["test results"]).alias("role"))
 
 
-@query("""WITH c AS (SELECT conv_id, (turn // 3)::INTEGER AS r, (turn % 3)::INTEGER AS k, substr(text, 1, 12) AS text FROM conversations), h AS (SELECT conv_id, k, text AS column_label FROM c WHERE r = 0 AND k > 0), l AS (SELECT conv_id, r, text AS row_label FROM c WHERE r > 0 AND k = 0)
+@query("""WITH c AS (SELECT conv_id, (turn // 3)::INTEGER AS r, (turn % 3)::INTEGER AS k, text FROM conversations), h AS (SELECT conv_id, k, text AS column_label FROM c WHERE r = 0 AND k > 0), l AS (SELECT conv_id, r, text AS row_label FROM c WHERE r > 0 AND k = 0)
 SELECT conv_id, c.r AS "row", c.k AS "column", coalesce(row_label, '') AS row_label, coalesce(nullif(trim(column_label), ''), 'col_' || c.k) AS column_label, text FROM c LEFT JOIN l USING (conv_id, r) LEFT JOIN h USING (conv_id, k) WHERE c.r > 0 AND c.k > 0 AND trim(text) NOT IN ('', 'unknown')""")
 def header_unpivot(t):
     """PRJ-21, PRJ-30: cells with their row and column labels; a conversation's turns fill a table of three columns."""
-    cells = t.conversations.select("conv_id", (F.col("turn") / 3).cast("int").alias("row"), (F.col("turn") % 3).cast("int").alias("column"), F.substring("text", 1, 12).alias("text"))
+    cells = t.conversations.select("conv_id", (F.col("turn") / 3).cast("int").alias("row"), (F.col("turn") % 3).cast("int").alias("column"), "text")
     return X.unpivot(cells, "conv_id")
 
 

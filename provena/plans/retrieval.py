@@ -194,7 +194,10 @@ def memory_relevance(t):
     return R.memory_relevance(rows, ["the", "of", "und", "que"], F.col("role") == "user", (F.col("id") % 10) / 10.0).select("id", "overlap", "score")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, sum(length(text))::BIGINT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations GROUP BY 1, 2),
+b AS (SELECT conv_id, turn, size, i, 0 AS batch, size AS used FROM s WHERE i = 1 UNION ALL
+SELECT s.conv_id, s.turn, s.size, s.i, CASE WHEN used > 0 AND used + s.size > 2000 THEN batch + 1 ELSE batch END, CASE WHEN used > 0 AND used + s.size > 2000 THEN s.size ELSE used + s.size END FROM b JOIN s ON s.conv_id = b.conv_id AND s.i = b.i + 1)
+SELECT conv_id, turn, size, batch::INTEGER AS batch, size > 2000 AS oversize FROM b""")
 def batch_planning(t):
     """TOP-25: greedy batches of a conversation's turns under a budget."""
     rows = t.conversations.withColumn("size", F.length("text").cast("long"))

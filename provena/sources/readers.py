@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from provena.functions.text import clean_json
 from provena.runtime import ship
 
 #: The record files of a source folder and their kinds.
@@ -43,9 +44,16 @@ def read_jsonl(spark: SparkSession, folder: str, source_id: str = "", names: Seq
 
 
 def parse(rows: DataFrame, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the parsed columns, rows that are no JSON of the schema), permissively (PRJ-20)."""
-    parsed = rows.withColumn("r", F.from_json("raw", schema))
-    return parsed.where("r IS NOT NULL").select(*rows.columns, "r.*"), parsed.where("r IS NULL").drop("r")
+    """(rows with the parsed columns, rows that are no JSON of the schema), permissively (PRJ-20).
+
+    Code fences and trailing commas are cleaned first; a line that still does not
+    parse, or whose fields do not fit the schema, is bad and keeps its raw text.
+    """
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    wide = kind.add("__bad", "string") if "__bad" not in kind.names else kind
+    parsed = rows.withColumn("r", F.from_json(clean_json(F.col("raw")), wide, {"columnNameOfCorruptRecord": "__bad"}))
+    good = F.col("r").isNotNull() & F.col("r.__bad").isNull()
+    return parsed.where(good).select(*rows.columns, *(F.col("r")[c].alias(c) for c in kind.names if c != "__bad")), parsed.where(~good).drop("r")
 
 
 def _unzip(batches):
@@ -85,7 +93,7 @@ def read_zip(spark: SparkSession, path: str, source_id: str = "") -> DataFrame:
 
 def load_manifest(spark: SparkSession, path: str) -> Mapping:
     """A manifest of sources, checked (SRC-04): schema 1 or 2, unique source ids, counts that are no less than 0."""
-    text = spark.read.option("wholetext", "true").text(path).first()
+    text = spark.read.text(path, wholetext=True).first()
     manifest = json.loads(text[0]) if text else {}
     if manifest.get("schema_version") not in (1, 2):
         raise ValueError("schema_version must be 1 or 2")

@@ -20,12 +20,13 @@ def follow_jsonl(spark: SparkSession, folder: str, schema: StructType | str) ->
 def maintain(stream: DataFrame, path: str, key: Sequence[str], order: Sequence, checkpoint: str) -> StreamingQuery:
     """Merge every micro-batch into the table at ``path``.
 
-    Within a batch the first row by ``order`` of a key wins; replaying a batch
-    after a failure gives the same table.
+    The first row by ``order`` of a key wins, within a batch and against the
+    stored row, so a late older row changes nothing; replaying a batch after a
+    failure gives the same table.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         if batch.limit(1).count():
-            merge_table(first_wins(batch, key, order), path, key)
+            merge_table(first_wins(batch, key, order), path, key, order)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -118,13 +118,13 @@ def test_readers_and_sinks(spark, tmp_path):
         z.writestr("readme.txt", "x")
     zipped = readers.read_zip(spark, str(tmp_path / "a.zip"), "s2")
     assert [(r.kind, r.record_number, r.doc_hint) for r in zipped.orderBy("record_number").collect()] == [("hyperedge", 1, "WO2"), ("hyperedge", 3, "WO2")]
-    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 2, "collection_id": "c", "sources": [{"source_id": "s1", "root": str(tmp_path / "src")}, {"source_id": "s2", "root": str(tmp_path / "a.zip"), "expected_hyperedges": 3}]}))
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": 2, "collection_id": "c", "sources": [{"source_id": "s1", "root": str(tmp_path / "src")}, {"source_id": "s2", "root": str(tmp_path / "a.zip"), "expected_hyperedges": 3}]}, indent=1))
     manifest = readers.load_manifest(spark, str(tmp_path / "m.json"))
     every = readers.read_manifest(spark, manifest)
     assert every.count() == 5
     assert [(r.source_id, r.n) for r in readers.expect_counts(every, manifest).collect()] == [("s2", 2)]
     good, bad = readers.parse(rows, "fact_id string, doc_id string")
-    assert good.where("fact_id IS NOT NULL").count() == 2 and good.count() + bad.count() == 3
+    assert sorted(r.fact_id for r in good.collect()) == ["f1", "f2"] and [r.raw for r in bad.collect()] == ["not json"]
     flat = readers.flatten_json(spark.createDataFrame([(1, '{"a": {"b": [0, "x", {"c": 2}]}, "d": false, "e": ""}'), (2, "no"), (3, None)], "id long, raw string"), "raw", ["id"])
     assert {(r.id, r.path, r.text) for r in flat.collect()} == {(1, "a.b[1]", "x"), (1, "a.b[2].c", "2")}
     assert sinks.write_jsonl(good, str(tmp_path / "out")) == good.count()
@@ -141,7 +141,11 @@ def test_merge_and_replace(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "k long, v string, collection_id string")
     sinks.merge_table(frame([(1, "a", "x"), (2, "b", "x")]), path, ["k"])
     sinks.merge_table(frame([(2, "B", "x"), (3, "c", "y")]), path, ["k"])
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "B"), (3, "c")}
+    assert {(r.k, r.v) for r in sinks.read_table(spark, path).collect()} == {(1, "a"), (2, "B"), (3, "c")}
+    (tmp_path / "t" / "v3").mkdir()  # a run that broke off
+    assert sinks.read_table(spark, path).count() == 3
+    sinks.merge_table(frame([(4, "d", "y")]), path, ["k"])
+    assert sinks.read_table(spark, path).count() == 4 and sinks._versions(spark, path) == [2, 3]
     path = str(tmp_path / "p")
     sinks.replace_collection(frame([(1, "a", "x"), (2, "b", "y")]), path)
     sinks.replace_collection(frame([(9, "z", "y")]), path)
@@ -154,9 +158,30 @@ def test_stream_maintains_a_table(spark, tmp_path):
     run = lambda: incremental.maintain(incremental.follow_jsonl(spark, str(inbox), "k long, v string, at long"), str(tmp_path / "t"), ["k"], [F.desc("at"), "v"], str(tmp_path / "cp")).awaitTermination(60)
     (inbox / "a.json").write_text('{"k": 1, "v": "a", "at": 1}\n{"k": 1, "v": "b", "at": 2}\n{"k": 2, "v": "c", "at": 1}\n')
     run()
-    (inbox / "b.json").write_text('{"k": 2, "v": "d", "at": 5}\n')
+    (inbox / "b.json").write_text('{"k": 2, "v": "d", "at": 5}\n{"k": 1, "v": "late", "at": 0}\n')
     run()
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "b"), (2, "d")}
+    assert {(r.k, r.v) for r in sinks.read_table(spark, str(tmp_path / "t")).collect()} == {(1, "b"), (2, "d")}
+
+
+def test_more_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    sinks.append_jsonl(rows, str(tmp_path / "log"))
+    sinks.append_jsonl(rows, str(tmp_path / "log"))
+    assert spark.read.schema("k long, v string").json(str(tmp_path / "log")).count() == 4
+    sinks.write_wide_csv(rows, str(tmp_path / "csv"), ["v", "k"])
+    assert sorted(map(tuple, spark.read.option("header", "true").csv(str(tmp_path / "csv")).collect()), key=str) == [("a", "1"), (None, "2")]
+    edges = spark.createDataFrame([("A",), ("A",), ("B",)], "edge_type string")
+    got = sinks.write_manifest(spark, str(tmp_path / "manifest"), {"rows": rows, "none": rows.limit(0)}, edges)
+    assert {tuple(r) for r in got.collect()} == {("edge_type", "A", 2), ("edge_type", "B", 1), ("table", "rows", 2), ("table", "none", 0)}
+
+
+def test_scopes_are_tables(spark):
+    from provena.operators import filters
+
+    rows = spark.createDataFrame([(1, "d1", None), (2, "d1", "d9"), (3, "d2", "d2"), (4, None, None)], "k long, doc string, own string")
+    for scope in (["d1", "d2", "d1"], spark.createDataFrame([("d1",), ("d2",)], "x string")):
+        assert sorted(r.k for r in filters.in_scope(rows, "doc", scope, "own").collect()) == [1, 3]
+    assert filters.in_scope(rows, "doc", []).count() == 0
 
 
 def test_batches_keep_groups_whole(spark):
