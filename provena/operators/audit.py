@@ -30,6 +30,36 @@ def qa_summary(counts: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def kg_summary(facts: DataFrame, edges: DataFrame, nodes: DataFrame, conflicts: DataFrame, status: str, proposed: Column, missing_refs: DataFrame) -> DataFrame:
+    """(section, name, value): dangling edges by type, the histogram of a validation status, the rate of proposed ids, conflicts and missing references (AGG-17)."""
+    row = lambda section, name, value: (F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
+    known = nodes.select("node").distinct()
+    lost = edges.join(known.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    every = edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("all")).join(lost.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")), "edge_type", "left")
+    n = F.count(F.lit(1))
+    parts = [
+        every.select(*row("dangling", F.col("edge_type"), F.coalesce("n", F.lit(0)))),
+        facts.groupBy(F.coalesce(status, F.lit("(none)")).alias("s")).agg(n.alias("n")).select(*row("validation", F.col("s"), F.col("n"))),
+        facts.agg(F.round(F.coalesce(F.avg(proposed.cast("double")), F.lit(0.0)), 4).alias("rate")).select(*row("proposed", F.lit("rate"), F.col("rate"))),
+        conflicts.agg(n.alias("n")).select(*row("conflicts", F.lit("all"), F.col("n"))),
+        missing_refs.agg(n.alias("n")).select(*row("missing_refs", F.lit("all"), F.col("n"))),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def budgeted_distinct(rows: DataFrame, key: str, most_rows: int | None = None) -> DataFrame:
+    """One row: exact distinct values, rows read, and whether all were (AGG-25).
+
+    Beyond ``most_rows`` the count is a lower bound over the rows read, and says so.
+    """
+    read = rows.select(key) if most_rows is None else rows.select(key).limit(most_rows + 1)
+    got = read.agg(F.count(F.lit(1)).alias("rows_read"), F.countDistinct(key).alias("n"))
+    if most_rows is None:
+        return got.select("n", "rows_read", F.lit("complete").alias("state"))
+    over = F.col("rows_read") > most_rows
+    return got.select("n", F.least("rows_read", F.lit(most_rows)).alias("rows_read"), F.when(over, "incomplete").otherwise("complete").alias("state"))
+
+
 def categorise(rows: DataFrame, text: Column, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows per first pattern that matches, with their share (AGG-27)."""
     kind = F.when(text.isNull() | (F.trim(text) == ""), "blank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,16 @@ def section_span(rows: DataFrame, doc: str, score: Column, hard_end: Column) ->
     return got.join(last, doc).select(doc, "start_line", "score", F.coalesce("end_line", "stop").alias("end_line"))
 
 
-def section_type(position: Column, total: Column) -> Column:
-    """Abstract in the first 15 %, claims in the last, else description (PRJ-17)."""
+def section_type(position: Column, total: Column, text: Column | None = None, hints: Sequence[tuple[str, str, int | None, int | None]] = ()) -> Column:
+    """The first hint (section, pattern, least and greatest position) that a text meets, else abstract in the first 15 %, claims in the last, description between (PRJ-17)."""
     share = position / F.greatest(total, F.lit(1))
-    return F.when(share < 0.15, "abstract").when(share > 0.85, "claims").otherwise("description")
+    out = None
+    for section, pattern, least, most in hints:
+        holds = text.rlike(pattern)
+        holds = holds if least is None else holds & (position >= least)
+        holds = holds if most is None else holds & (position <= most)
+        out = F.when(holds, section) if out is None else out.when(holds, section)
+    return (F if out is None else out).when(share < 0.15, "abstract").when(share > 0.85, "claims").otherwise("description")
 
 
 def passages(rows: DataFrame, doc: str, least: int = 30) -> DataFrame:

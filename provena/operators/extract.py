@@ -239,6 +239,51 @@ def context_flags(rows: DataFrame, missing: Mapping[str, Column], flags: Mapping
     return rows.select("*", *(is_missing(F.trim(c.cast("string"))).alias(f"missing_{k}") for k, c in missing.items()), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
 
 
+#: Coverage below this is too low.
+LEAST_COVERAGE = 0.8
+
+
+def example_flags(rows: DataFrame) -> DataFrame:
+    """``rows`` with the twelve flags and the count of an example's context (QA-02).
+
+    Columns: the arrays applications, resin_systems, substrates, test_methods,
+    test_standards, coverage_values and table_units (evidence_type, has_html,
+    has_image), the booleans polarity_conflict, example_kind_conflict and
+    coverage_unknown, comparison_status, low_confidence_facts. Null counts as empty
+    or false.
+    """
+    empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    some = lambda c, f: F.coalesce(F.exists(c, f), F.lit(False))
+    tables = lambda field: some("table_units", lambda u: (u["evidence_type"] == "table") & ~F.coalesce(u[field], F.lit(False)))
+    return rows.select(
+        "*",
+        *(empty(f"{c}s").alias(f"missing_{c}") for c in ("application", "resin_system", "substrate", "test_method", "test_standard")),
+        yes("polarity_conflict").alias("mixed_polarity"), (~empty("table_units") & (F.size("table_units") > 1)).alias("multi_table_context"), yes("example_kind_conflict").alias("kind_conflict"),
+        F.coalesce(F.col("comparison_status") == "unresolved_baseline", F.lit(False)).alias("unresolved_comparison"), F.coalesce("low_confidence_facts", F.lit(0)).alias("low_confidence_fact_count"),
+        (tables("has_html") | tables("has_image")).alias("ocr_or_html_missing"), yes("coverage_unknown").alias("coverage_missing"), some("coverage_values", lambda v: v < LEAST_COVERAGE).alias("coverage_below_threshold"),
+    )
+
+
+def select_source(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """For every request the first source that fits it, and how many did (JOIN-08).
+
+    ``requests``: request_id, namespace, collection_id, company. ``sources``:
+    source_id, position and the same three. A field that a request leaves blank fits
+    all; more than one fitting source is ambiguous, and the first is kept.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    fields = ("namespace", "collection_id", "company")
+    asked = requests.select("request_id", *(blank(c).alias(f"__{c}") for c in fields))
+    fits = F.lit(True)
+    for c in fields:
+        fits = fits & (F.col(f"__{c}").isNull() | (F.col(f"__{c}") == F.col(c)))
+    met = asked.join(F.broadcast(sources.select("source_id", "position", *fields)), fits, "left")  # sources of a manifest: a few
+    first = F.min(F.when(F.col("source_id").isNotNull(), F.struct("position", "source_id")))["source_id"]
+    got = met.groupBy("request_id").agg(first.alias("source_id"), F.count("source_id").alias("candidates"))
+    return got.withColumn("state", F.when(F.col("candidates") == 0, "none").when(F.col("candidates") == 1, "exact").otherwise("ambiguous"))
+
+
 def pointer_from_id(fact: Column, unit: Column) -> Column:
     """The unit of a fact's pointer, else the one that its id names (QA-10)."""
     return F.coalesce(F.nullif(F.trim(unit), F.lit("")), F.nullif(F.regexp_extract(fact, r"(U_\w+?)_F\d+$", 1), F.lit("")))

@@ -56,6 +56,26 @@ def union_nodes(parts: Sequence[DataFrame], key: str, lists: Sequence[str]) -> D
     return both.groupBy(key).agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists))
 
 
+def union_packs(parts: Sequence[DataFrame], key: str, identity: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes of all packs, one row a key; keys that packs describe differently) (SET-07).
+
+    Packs may repeat a node if its identity columns are the same; ``require_no_conflicts``
+    turns the second table into an error.
+    """
+    both = reduce(DataFrame.unionByName, parts)
+    same = F.struct(*identity)
+    seen = both.groupBy(key).agg(F.min(same).alias("one"), F.max(same).alias("other"), F.count(F.lit(1)).alias("copies"))
+    nodes = seen.where("one <=> other").select(key, "one.*", "copies")
+    return nodes, seen.where("NOT (one <=> other)").select(key, "copies")
+
+
+def require_no_conflicts(conflicts: DataFrame, key: str) -> None:
+    """Raise with some of the keys if there are any."""
+    found = [r[0] for r in conflicts.select(key).orderBy(key).limit(5).collect()]
+    if found:
+        raise ValueError(f"nodes described differently: {found}")
+
+
 def expand_synonyms(values: Sequence[str], families: Sequence[Sequence[str]]) -> list[str]:
     """Values with all members of the synonym families they belong to, in stable order (SET-08)."""
     out = list(dict.fromkeys(v.strip() for v in values if v.strip()))

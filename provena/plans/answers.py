@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.operators import answer, intent, resolve
+from provena.operators import answer, audit, documents, intent, resolve
 from provena.operators import extract as X
 from provena.operators import retrieve as R
+from provena.operators import survivorship as S
 from provena.plans.registry import query
 from provena.sources import packs
 
@@ -185,3 +186,64 @@ s AS (SELECT count(*) AS n, avg(size) AS mean, {', '.join(f'count(*) FILTER (f{i
 def bm25_topk(t):
     """TOP-18: chunks by BM25."""
     return R.bm25(t.documents, "doc_id", F.col("text"), ["the", "ring", "que"]).select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("""SELECT o_orderkey, o_orderkey % 2 = 1 AS missing_application, o_orderkey % 3 != 0 AS missing_resin_system, o_orderkey % 5 = 0 AS mixed_polarity, o_orderkey % 4 > 1 AS multi_table_context, o_orderkey % 7 = 0 AS unresolved_comparison,
+o_orderkey % 4 > 0 AND (o_orderkey % 6 = 0 OR o_orderkey % 10 = 0) AS ocr_or_html_missing, o_orderkey % 9 = 1 AS coverage_below_threshold, (o_orderkey % 3)::INTEGER AS low_confidence_fact_count FROM orders""")
+def example_flags(t):
+    """QA-02: the flags of an example's context."""
+    k = F.col("o_orderkey")
+    listed = lambda c: F.when(c, F.array(F.lit("x")))
+    unit = F.struct(F.lit("table").alias("evidence_type"), (k % 6 != 0).alias("has_html"), F.when(k % 10 != 0, True).alias("has_image"))
+    rows = t.orders.select(
+        "o_orderkey", listed(k % 2 == 0).alias("applications"), F.when(k % 3 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")).alias("resin_systems"), *(listed(F.lit(True)).alias(c) for c in ("substrates", "test_methods", "test_standards")),
+        (k % 5 == 0).alias("polarity_conflict"), F.slice(F.array(unit, unit, unit), 1, (k % 4).cast("int")).alias("table_units"), F.lit(False).alias("example_kind_conflict"), F.when(k % 7 == 0, "unresolved_baseline").alias("comparison_status"),
+        F.when(k % 3 > 0, (k % 3).cast("int")).alias("low_confidence_facts"), F.lit(None).cast("boolean").alias("coverage_unknown"), F.array(F.lit(0.9), F.when(k % 9 == 1, 0.5)).alias("coverage_values"),
+    )
+    return X.example_flags(rows).select("o_orderkey", "missing_application", "missing_resin_system", "mixed_polarity", "multi_table_context", "unresolved_comparison", "ocr_or_html_missing", "coverage_below_threshold", "low_confidence_fact_count")
+
+
+@query("""WITH s(source_id, position, namespace, collection_id, company) AS (VALUES ('a', 2, 'n1', 'BUILDING', 'x'), ('b', 1, 'n1', 'MACHINERY', 'x'), ('c', 3, 'n2', 'BUILDING', 'y')),
+r AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'n1' END AS n, c_mktsegment AS c FROM customer), m AS (SELECT c_custkey, source_id, position FROM r LEFT JOIN s ON (n IS NULL OR n = namespace) AND c = collection_id)
+SELECT c_custkey AS request_id, arg_min(source_id, position) AS source_id, count(source_id)::BIGINT AS candidates, CASE count(source_id) WHEN 0 THEN 'none' WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS state FROM m GROUP BY 1""")
+def source_selection(t):
+    """JOIN-08: the source a request means."""
+    sources = t.spark.createDataFrame([("a", 2, "n1", "BUILDING", "x"), ("b", 1, "n1", "MACHINERY", "x"), ("c", 3, "n2", "BUILDING", "y")], "source_id string, position int, namespace string, collection_id string, company string")
+    asked = t.customer.select(F.col("c_custkey").alias("request_id"), F.when(F.col("c_custkey") % 2 == 0, "n1").otherwise(" ").alias("namespace"), F.col("c_mktsegment").alias("collection_id"), F.lit(None).cast("string").alias("company"))
+    return X.select_source(asked, sources)
+
+
+@query("""WITH u AS (SELECT p_partkey, p_brand FROM part UNION ALL SELECT p_partkey, CASE WHEN p_size > 40 THEN 'other' ELSE p_brand END FROM part WHERE p_size > 20), g AS (SELECT p_partkey, min(p_brand) AS lo, max(p_brand) AS hi, count(*)::BIGINT AS copies FROM u GROUP BY 1)
+SELECT p_partkey, CASE WHEN lo = hi THEN lo END AS p_brand, copies, lo != hi AS conflict FROM g""")
+def pack_union(t):
+    """SET-07: packs may repeat a node, but not describe it differently."""
+    again = t.part.where("p_size > 20").select("p_partkey", F.when(F.col("p_size") > 40, "other").otherwise(F.col("p_brand")).alias("p_brand"))
+    nodes, odd = S.union_packs([t.part.select("p_partkey", "p_brand"), again], "p_partkey", ["p_brand"])
+    return nodes.withColumn("conflict", F.lit(False)).unionByName(odd.withColumn("p_brand", F.lit(None).cast("string")).withColumn("conflict", F.lit(True)))
+
+
+@query("""SELECT 'dangling' AS section, 'HAS_PART' AS name, count(*) FILTER (p_partkey IS NULL)::DOUBLE AS value FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey AND p_size < 40
+UNION ALL SELECT 'validation', coalesce(CASE WHEN l_returnflag != 'N' THEN l_returnflag END, '(none)'), count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'proposed', 'rate', round(avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END), 4) FROM lineitem
+UNION ALL SELECT 'conflicts', 'all', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1) UNION ALL SELECT 'missing_refs', 'all', count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 > 0))""")
+def kg_summary(t):
+    """AGG-17: dangling edges, histogram, proposed rate, conflicts, missing references."""
+    edges = t.lineitem.select(F.col("l_orderkey").alias("src"), F.lit("HAS_PART").alias("edge_type"), F.col("l_partkey").alias("dst")).distinct()
+    facts = t.lineitem.withColumn("state", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+    odd = S.conflicts(t.lineitem, ["l_orderkey", "l_linenumber"], F.col("l_partkey"))
+    lost = resolve.unresolved(t.lineitem.select("l_suppkey").distinct(), t.supplier.where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("l_suppkey")), ["l_suppkey"])
+    return audit.kg_summary(facts, edges, t.part.where("p_size < 40").select(F.col("p_partkey").alias("node")), odd, "state", F.col("l_discount") > 0.05, lost)
+
+
+@query("""SELECT count(DISTINCT l_partkey)::BIGINT AS n, count(*)::BIGINT AS rows_read, 'complete' AS state FROM lineitem""")
+def exact_distinct(t):
+    """AGG-25: an exact distinct count that says whether it is complete."""
+    return audit.budgeted_distinct(t.lineitem, "l_partkey")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)license') AND turn >= 1 THEN 'legal' WHEN regexp_matches(text, '(?i)abstract') THEN 'abstract' WHEN turn < 0.15 * greatest(last, 1) THEN 'abstract' WHEN turn > 0.85 * greatest(last, 1) THEN 'claims' ELSE 'description' END AS section FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)""")
+def section_types(t):
+    """PRJ-17: hints with windows of pages, else the relative position."""
+    last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = t.conversations.join(last, "conv_id")
+    kind = documents.section_type(F.col("turn"), F.col("last"), F.col("text"), [("legal", "(?i)license", 1, None), ("abstract", "(?i)abstract", None, None)])
+    return rows.select("conv_id", "turn", kind.alias("section"))

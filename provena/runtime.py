@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, laptops) a local one is made and set for the session.
+    is unset and all runs on one machine (tests, laptops) a local one is made and
+    set for the session. A cluster without the setting is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         _OWN[app] = tempfile.mkdtemp(prefix="provena-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]

@@ -81,3 +81,20 @@ def test_scan_by_ids_and_log(spark, tmp_path):
     sinks.append_csv(rows, str(tmp_path / "log"))
     sinks.append_csv(rows, str(tmp_path / "log"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "log")).count() == 6
+
+
+def test_conflicting_packs_and_budgets(spark):
+    import pytest
+
+    from provena.operators import audit, survivorship
+
+    a = spark.createDataFrame([("n1", "x"), ("n2", "y")], "id string, name string")
+    nodes, odd = survivorship.union_packs([a, a, spark.createDataFrame([("n2", "z")], a.schema)], "id", ["name"])
+    assert [(r.id, r.name, r.copies) for r in nodes.collect()] == [("n1", "x", 2)]
+    with pytest.raises(ValueError, match="n2"):
+        survivorship.require_no_conflicts(odd, "id")
+    survivorship.require_no_conflicts(odd.limit(0), "id")
+    rows = spark.range(10).selectExpr("id % 3 AS k")
+    assert tuple(audit.budgeted_distinct(rows, "k", 10).first()) == (3, 10, "complete")
+    assert audit.budgeted_distinct(rows, "k", 4).first()["state"] == "incomplete"
+    assert tuple(audit.budgeted_distinct(rows.limit(0), "k").first()) == (0, 0, "complete")
