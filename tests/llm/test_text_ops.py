@@ -267,6 +267,14 @@ def test_packing_round_trip(spark, sf_dir):
     assert packing.pack_documents(frame.limit(0), *packing.public_paths()).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    fast = packing._tokenizer(*packing.public_paths())
+    texts = pq.read_table(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    assert all([*fast(t or "").tolist(), 0] == encode(t) for t in texts)
+
+
 def test_least_squares_uses_exact_combinations():
     lengths = np.array([600] * 50 + [424] * 50 + [300] * 10 + [700] * 3 + [24] * 7)
     got = packing.pack_lengths(lengths)
