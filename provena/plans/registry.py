@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from provena.plans import aggregates, answers, evaluation, extraction, resolution, retrieval, texts  # noqa: F401
+    from provena.plans import aggregates, answers, evaluation, extraction, resolution, retrieval, round_trips, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
