@@ -73,14 +73,16 @@ def mentions(texts: DataFrame, row_id: str, text: str, aliases: DataFrame) -> Da
     words = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = texts.select(row_id, words(text).alias("w"))
     sizes = aliases.select(F.size(words("alias_text")).alias("n")).where("n > 0").distinct()
-    runs = []
+    none = F.array().cast("array<string>")
+    grams = []
     for n in sorted(r.n for r in sizes.collect()) or [1]:
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _run_at(n))
-        runs.append(rows.where(F.size("w") >= n).select(row_id, F.explode(F.array_distinct(grams)).alias("run")))
+        # repeated runs are left in: the aliases sift them sooner than a set of all runs would
+        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        grams.append(F.when(F.size("w") >= n, F.transform(at, _run_at(n)) if n > 1 else F.col("w")).otherwise(none))
     known = aliases.select(F.lower("alias_text").alias("run"), "canonical_id").distinct()
     if known.limit(FEW_ALIASES + 1).count() <= FEW_ALIASES:
         known = F.broadcast(known)
-    found = reduce(DataFrame.unionAll, runs).join(known, "run")
+    found = rows.select(row_id, F.explode(F.concat(*grams)).alias("run")).join(known, "run")
     longest = F.min(F.struct((-F.length("run")).alias("n"), "run"))
     return found.groupBy(row_id, "canonical_id").agg(longest["run"].alias("alias_text"))
 
