@@ -124,7 +124,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         for k, d in enumerate(DIMS):
             now = before.groupBy(d).agg(F.sum("weight").alias("now"))
             scale = now.join(goal[d], d).select(d, F.coalesce(F.try_divide(F.col("share") * F.lit(total), "now"), F.lit(0.0)).alias("scale"), F.abs(F.col("now") / F.lit(total) - F.col("share")).alias("off"))
-            before = before.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale"))
+            before = before.join(scale.hint("merge"), d).withColumn("weight", F.col("weight") * F.col("scale"))  # no broadcast a step
             off[d] = F.col("off") if not k else F.greatest("gap", "off")
             before = materialise(before.select(*DIMS, "tokens", "weight", "before", off[d].alias("gap")), "raked")
         state = before.select(*DIMS, "tokens", "weight")
