@@ -6,9 +6,10 @@ buckets by hash. The runs of a bucket are merge-joined: a window is repeated if
 its hash is in an earlier run (history, or a batch of smaller ids) and an
 independent check hash (of other codes of the same words) verifies it, or if it also starts in a document of
 smaller id of the same batch. A bit per window goes back to the batch, which
-drops the words that repeated windows cover. With an index folder, what a load
-adds is kept as one more run, and runs are compacted into one when there are
-many; later loads are set against them.
+drops the words that repeated windows cover. With an index folder, the runs of a
+load are compacted into one run of what history lacks, in the pass that merges
+them, and stored; stored runs are compacted into one when there are many; later
+loads are set against them.
 
 At most one row per (batch, bucket) is shuffled, so a window that a third of all
 documents share is one entry of each run, not a hot key.
@@ -21,6 +22,9 @@ table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +43,8 @@ BUCKET_BYTES = 16 << 20
 CHECK_BYTES = 3
 #: Runs that an index holds before they are compacted.
 MOST_RUNS = 8
+#: Part of the ids that the query loads first.
+FIRST = 1 / 16
 
 
 class _Batch:
@@ -88,6 +94,9 @@ class _Batch:
 
 
 RUN = "bucket int, run long, keys binary, checks binary"
+#: What a load stores: its run, and its answers (``run`` the batch, ``keys`` the bits).
+STORED = f"{RUN}, kind string"
+BITS = "batch int, bucket int, bits binary"
 
 
 def _runs(window: int, buckets: int):
@@ -124,15 +133,43 @@ def _merge(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarra
     return runs, sizes, keys, checks, again
 
 
-def _answers(key, table):
+def _bits(runs: list[int], sizes: list[int], again: np.ndarray) -> list[tuple[int, bytes]]:
     """Per run of a batch (numbers from 0 up; history is below 0): a bit per key, set if an earlier run has it."""
-    runs, sizes, _, _, again = _merge(table)
     out, at = [], 0
     for run, n in zip(runs, sizes, strict=True):
         if run >= 0 and again[at : at + n].any():
-            out.append((run, key[0].as_py(), np.packbits(again[at : at + n]).tobytes()))
+            out.append((run, np.packbits(again[at : at + n]).tobytes()))
         at += n
-    return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["batch", "bucket", "bits"])
+    return out
+
+
+def _answers(key, table):
+    """The bits of a bucket."""
+    runs, sizes, _, _, again = _merge(table)
+    out = _bits(runs, sizes, again)
+    return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([key[0].as_py()] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["batch", "bucket", "bits"])
+
+
+def _stored(bucket: int, rows: list[tuple[int, bytes, bytes, str]]) -> pa.Table:
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.string()]
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.table([pa.array([bucket] * len(rows), pa.int32()), *columns], names=["bucket", "run", "keys", "checks", "kind"])
+
+
+def _add(number: int):
+    """The bits of a bucket and, as run ``number``, the keys of its batches that history lacks."""
+
+    def add(key, table):
+        runs, sizes, keys, checks, again = _merge(table)
+        rows = [(batch, bits, b"", "bits") for batch, bits in _bits(runs, sizes, again)]
+        old = sum(n for run, n in zip(runs, sizes, strict=True) if run < 0)  # history comes first
+        new = old + np.flatnonzero(~again[old:])
+        new = new[np.argsort(keys[new], kind="stable")]
+        if len(new):
+            rows.append((number, pack_sorted(keys[new]), checks[new].tobytes(), "run"))
+        return _stored(key[0].as_py(), rows)
+
+    return add
 
 
 def _compact(key, table):
@@ -140,7 +177,7 @@ def _compact(key, table):
     _, _, keys, checks, again = _merge(table)
     keys, checks = keys[~again], checks[~again]
     order = np.argsort(keys, kind="stable")
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([-1], pa.int64()), pa.array([pack_sorted(keys[order])], pa.binary()), pa.array([checks[order].tobytes()], pa.binary())], names=["bucket", "run", "keys", "checks"])
+    return _stored(key[0].as_py(), [(-1, pack_sorted(keys[order]), checks[order].tobytes(), "run")])
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -182,63 +219,91 @@ def _drop(window: int, buckets: int):
 
 
 class FingerprintIndex:
-    """Runs of window hashes in a folder: ``level=0`` has one run a load, higher levels have compacted ones."""
+    """Runs of window hashes in a folder, one a load; runs are never changed, only compacted into a new one."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, window: int = WINDOW):
         self.spark, self.path, self.buckets, self.window = spark, path, buckets, window
 
     def _folders(self) -> list[str]:
+        """Finished runs; what a lost driver left unfinished is written anew."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         at = hadoop.Path(self.path)
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+        found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(p.toString() for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def _read(self, paths: list[str], kind: str) -> DataFrame:
+        each = [self.spark.read.schema(STORED).parquet(p).where(F.col("kind") == kind).drop("kind") for p in paths]
+        return reduce(DataFrame.unionAll, each)  # folders are roots of their own
 
     def history(self) -> DataFrame | None:
         found = self._folders()
-        return self.spark.read.schema(RUN).parquet(*found) if found else None
+        return self._read(found, "run") if found else None
 
-    def append(self, runs: DataFrame) -> None:
+    def add(self, runs: DataFrame) -> DataFrame:
+        """Merge the runs of a load with history, store what is new as a run and return the load's answers."""
         n = len(self._folders())
-        runs.groupBy("bucket").applyInArrow(_compact, RUN).withColumn("run", F.lit(-1 - n).cast("long")).write.parquet(f"{self.path}/run-{n:06d}")
-        if n + 1 > MOST_RUNS:
-            self.compact()
+        old = self.history()
+        path = f"{self.path}/run-{n:06d}"
+        merged = (runs if old is None else runs.unionByName(old)).groupBy("bucket").applyInArrow(_add(-1 - n), STORED)
+        merged.write.partitionBy("kind").mode("overwrite").parquet(path)
+        return self._read([path], "bits").select(F.col("run").cast("int").alias("batch"), "bucket", F.col("keys").alias("bits"))
 
     def compact(self) -> None:
         old = self._folders()
-        new = scratch_path(self.spark, "compacted")
-        self.history().groupBy("bucket").applyInArrow(_compact, RUN).write.parquet(new)
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         fs = hadoop.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         # the compacted run appears before the old ones go: history may be read twice, never lost
-        self.spark.read.schema(RUN).parquet(new).write.parquet(f"{self.path}/run-000000-{new.rsplit('-', 1)[-1]}")
+        one = self.history().groupBy("bucket").applyInArrow(_compact, STORED)
+        one.write.partitionBy("kind").parquet(f"{self.path}/run-000000-{uuid.uuid4().hex[:12]}")
         for p in old:
             fs.delete(hadoop.Path(p), True)
 
+    def tidy(self) -> None:
+        if len(self._folders()) > MOST_RUNS:
+            self.compact()
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, share: float = 1.0) -> DataFrame:
+    """doc_id, n_words, n_removed and the kept text of every row.
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and the kept text of every row; the load is added to ``index`` if given."""
+    The load is set against ``index`` if given and, with ``keep``, added to it.
+    ``share`` is the part of the stored tables behind ``docs`` that its rows
+    make up; it sizes batches only.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(integer_id(docs, id_col).alias("id"), docs[text_col].alias("text"))
-    cuts = even_bounds(rows, "id", "text", parts_of(docs, BATCH_BYTES, 2))
-    n = parts_of(docs, BUCKET_BYTES)
+    cuts = even_bounds(rows, "id", "text", parts_of(docs, int(BATCH_BYTES / share), 2))
+    n = parts_of(docs, int(BUCKET_BYTES / share))
     buckets = index.buckets if index else n
     dealt = rows.withColumn("batch", range_of(F.col("id"), cuts)).repartition(n, "batch")
     runs = dealt.groupBy("batch").applyInArrow(_runs(window, buckets), RUN)
-    old = index.history() if index else None
-    if index:
-        runs = materialise(runs, "runs")
-    bits = (runs if old is None else runs.unionByName(old)).groupBy("bucket").applyInArrow(_answers, "batch int, bucket int, bits binary")
+    stored = index is not None and keep
+    if stored:
+        bits = index.add(runs)
+    else:
+        old = index.history() if index else None
+        bits = (runs if old is None else runs.unionByName(old)).groupBy("bucket").applyInArrow(_answers, BITS)
     out = dealt.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_drop(window, buckets), OUT)
-    if index:
-        out = materialise(out, "kept")
-        index.append(runs if old is None else runs.unionByName(old.where("false")))
+    if stored:
+        out = materialise(out, "kept")  # before a compaction takes the answers away
+        index.tidy()
     return out
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all documents that a window of a smaller document covers, removed."""
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Words of all documents that a window of a smaller document covers, removed.
+
+    The smallest FIRST of the ids is a load of its own, whose run the index
+    keeps; the rest is merge-joined with that run.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), FIRST, round(20 / FIRST))).first()[0]
+    first = F.coalesce(F.col("doc_id") <= F.lit(cut), F.lit(False))
+    index = FingerprintIndex(spark, scratch_path(spark, "fingerprints"), parts_of(docs, BUCKET_BYTES))
+    old = remove_repeats(docs.where(first), index=index, share=FIRST)
+    found = old.unionByName(remove_repeats(docs.where(~first), index=index, keep=False))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -321,11 +321,17 @@ def test_words_that_defeat_polynomial_hashes(spark):
     assert got == brute.substring_dedup(docs) and got[2][1] == 0 and got[3][1] == 13
 
 
+def cuttings(rng):
+    """Three passages of one long row of words, so that windows repeat, also across their seams' sides."""
+    return " ".join(f"v{x + k}" for x in rng.integers(0, 400, 3) for k in range(rng.integers(8, 30)))
+
+
 def test_substring_index_over_loads(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MOST_RUNS", 2)
     rng = np.random.default_rng(3)
-    docs = [(i, " ".join(f"v{x}" for x in rng.integers(0, 6, 40) // 2)) for i in range(60)]
+    docs = [(i, cuttings(rng)) for i in range(60)]
     want = brute.substring_dedup(docs)
+    assert sum(n for _, n, _ in want.values()) > 500
     index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), 3)
     got = {}
     for at in range(0, 60, 15):
@@ -333,6 +339,28 @@ def test_substring_index_over_loads(spark, tmp_path, monkeypatch):
         got |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(load, index=index).collect()}
     assert got == want
     assert len(index._folders()) <= 3
+    before = index._folders()
+    again = spark.createDataFrame([(90, docs[5][1])], "doc_id long, text string")
+    assert substring_dedup.remove_repeats(again, index=index, keep=False).first()["n_removed"] == len(docs[5][1].split()) and index._folders() == before
+    assert substring_dedup.remove_repeats(again.limit(0), index=index).count() == 0
+    (tmp_path / "index" / "run-000009").mkdir()  # left unfinished by a lost driver
+    assert substring_dedup.remove_repeats(again, index=index).first()["n_removed"] == len(docs[5][1].split())
+
+
+def test_substring_query_over_two_loads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FIRST", 0.3)
+    rng = np.random.default_rng(5)
+    docs = [(i, cuttings(rng)) for i in range(40)] + [(7, None), (50, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op2_substring_dedup(spark, f"{tmp_path}/a").collect())
+    plain = substring_dedup.remove_repeats(frame).collect()
+    assert got == sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in plain)
+    assert sum(r.n_removed for r in plain) > 100
+    lone = frame.select(F.lit(None).cast("long").alias("doc_id"), "text").limit(3)
+    for name, some, n in (("b", frame.limit(0), 0), ("c", lone, 3)):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert substring_dedup.op2_substring_dedup(spark, f"{tmp_path}/{name}").count() == n
 
 
 def test_quality_held_out(spark, sf_dir):
