@@ -92,3 +92,31 @@ def remap(rows: DataFrame, column: str, mapping: Mapping[str, str]) -> DataFrame
     src = F.col(raw) if raw in rows.columns else F.col(column)
     pairs = [x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]
     return rows.withColumn(raw, src).withColumn(column, F.coalesce(F.element_at(F.create_map(*pairs), F.col(raw)), F.col(raw)))
+
+
+def inventory_differences(candidate: DataFrame, live: DataFrame, name: str, body: str) -> DataFrame:
+    """Names whose contents differ between two inventories or that one of them lacks (QA-11).
+
+    ``newlines_only`` is set where both agree but for CR LF against LF. Digests,
+    not bodies, meet in the join; a null body is empty. Names are unique.
+    """
+
+    def digests(rows: DataFrame, side: str) -> DataFrame:
+        text = F.coalesce(F.col(body), F.lit(""))
+        plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+        return rows.select(name, F.sha2(text.cast("binary"), 256).alias(f"{side}_sha256"), F.sha2(plain.cast("binary"), 256).alias(f"__{side}"))
+
+    both = digests(candidate, "candidate").join(digests(live, "live"), name, "full").where(~F.col("candidate_sha256").eqNullSafe(F.col("live_sha256")))
+    same = F.coalesce(F.col("__candidate") == F.col("__live"), F.lit(False))
+    return both.select(name, "candidate_sha256", "live_sha256", same.alias("newlines_only"))
+
+
+def page_gates(pages: Sequence[DataFrame], object_id: str, position: str, size: int) -> DataFrame:
+    """Per page of ``size`` rows: rows, distinct ids, offset, ids that another page has too, and whether all is as it should be (QA-11)."""
+    rows = reduce(DataFrame.unionAll, (p.select(F.lit(k).alias("page"), F.col(object_id).alias("id"), F.col(position).alias("at")) for k, p in enumerate(pages)))
+    shared = rows.groupBy("id").agg(F.countDistinct("page").alias("n_pages"))
+    got = rows.join(shared, "id").groupBy("page").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), (F.min("at") - 1).cast("long").alias("offset"), F.count(F.when(F.col("n_pages") > 1, 1)).alias("n_shared"),
+    )
+    good = (F.col("n") == size) & (F.col("n_ids") == size) & (F.col("offset") == F.col("page") * size) & (F.col("n_shared") == 0)
+    return got.withColumn("ok", good)

@@ -95,7 +95,8 @@ def in_scope(rows: DataFrame, doc: str, scope: DataFrame | Sequence, object_doc:
     if object_doc is None:
         return out
     inside = ids.withColumnRenamed(doc, "__scope")
-    return out.join(inside, F.col(object_doc).isNull() | (F.col(object_doc) == F.col("__scope")), "left_semi")
+    # a row without one lies in scope by its document, which keeps the join an equi-join
+    return out.join(inside, F.coalesce(object_doc, doc) == F.col("__scope"), "left_semi")
 
 
 def facet_state(hard: Sequence[Column], related: Sequence[Column]) -> Column:

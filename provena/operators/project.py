@@ -20,6 +20,48 @@ def context_rollup(facts: DataFrame, context: str, polarity: Column, confidence:
     )
 
 
+def field_records(facts: DataFrame, context: str, fact: str, evidence: str, fields: Mapping[str, Column], source: Column) -> DataFrame:
+    """Values of each field of a context with facts, evidence, sources, confidence and place by facts (AGG-12, AGG-14).
+
+    ``fields`` are arrays; null, blank and unknown values are left out. Facts and evidence are counted
+    distinct and never gathered, so a context may hold any number of them.
+    """
+    pairs = [F.transform(F.coalesce(v, F.array().cast("array<string>")), _in_field(n)) for n, v in fields.items()]
+    rows = facts.select(context, fact, evidence, source.alias("source"), F.explode(F.concat(*pairs)).alias("pair")).select(context, "pair.*", fact, evidence, "source")
+    rows = rows.where("value IS NOT NULL AND value NOT IN ('', 'unknown')")
+    got = rows.groupBy(context, "field", "value").agg(
+        F.countDistinct(fact).alias("fact_count"), F.countDistinct(evidence).alias("evidence_count"),
+        F.coalesce(F.max(F.col("source") == "fact_explicit"), F.lit(False)).alias("explicit"), F.coalesce(F.max(F.col("source").startswith("doc_profile")), F.lit(False)).alias("profile"),
+    )
+    sure = field_confidence(F.col("fact_count"), F.col("evidence_count"), F.col("explicit"), F.col("profile"))
+    order = Window.partitionBy(context, "field").orderBy(F.desc("fact_count"), "value")
+    return got.withColumn("confidence", sure).withColumn("place", F.row_number().over(order))
+
+
+def context_quality(facts: DataFrame, context: str, fact: str, evidence: str, confidence: Column, binding: Column, status: Column, records: DataFrame, primary: Sequence[str]) -> DataFrame:
+    """Counts, confidences, resolution status, conflicting fields and unambiguous primary values of each context (AGG-12, AGG-13).
+
+    ``records`` are those of ``field_records``; a context without any has no conflicts.
+    """
+    known = F.when(status != "", status)
+    got = facts.groupBy(context).agg(
+        F.countDistinct(fact).alias("fact_count"), F.countDistinct(evidence).alias("evidence_count"),
+        F.round(F.avg(confidence), 3).alias("mean_confidence"), F.round(F.min(confidence), 3).alias("min_confidence"), F.count(F.when(confidence < LOW_CONFIDENCE, 1)).alias("n_low"),
+        F.round(F.avg(binding), 3).alias("mean_binding"), F.round(F.min(binding), 3).alias("min_binding"),
+        F.when(F.min(known) == F.max(known), F.min(known)).when(F.min(known).isNotNull(), "mixed").alias("resolution_status"),
+    )
+    at = lambda f, k: F.max(F.when((F.col("field") == f) & (F.col("place") == k), F.col("fact_count")))
+    first = lambda f: F.max(F.when((F.col("field") == f) & (F.col("place") == 1), F.col("value")))
+    sure = lambda f: at(f, 2).isNull() | (at(f, 1) >= F.greatest(F.lit(2), at(f, 2) * 2))
+    several = F.collect_set(F.when(F.col("place") == 2, F.col("field")))  # no more than there are fields
+    more = records.groupBy(context).agg(F.array_join(F.array_sort(several), ",").alias("conflicts"), F.size(several).alias("conflict_count"), *(F.when(sure(f), first(f)).alias(f"primary_{f}") for f in primary))
+    return got.join(more, context, "left").withColumns({"conflicts": F.coalesce("conflicts", F.lit("")), "conflict_count": F.coalesce("conflict_count", F.lit(0))})
+
+
+def _in_field(field: str):
+    return lambda v: F.struct(F.lit(field).alias("field"), v.alias("value"))
+
+
 def primary_values(values: DataFrame, context: str, value: str, n: str) -> DataFrame:
     """The top value where it stands alone or has at least max(2, twice the second) facts (AGG-13)."""
     w = Window.partitionBy(context).orderBy(F.desc(n), value)

@@ -204,6 +204,46 @@ def context_rollup(t):
     return project.context_rollup(t.lineitem, "l_orderkey", state, 1 - (F.col("l_linenumber") % 8) / 16.0, {"statuses": F.col("l_linestatus")})
 
 
+#: A supplier is a context; its fields, the source of each fact and the records of values.
+_RECORDS = """f AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS fact, l_orderkey AS evidence, l_returnflag, l_linestatus, l_linenumber, 1 - (l_linenumber % 8) / 16 AS c,
+  CASE l_returnflag WHEN 'A' THEN 'fact_explicit' WHEN 'R' THEN 'doc_profile:terms' ELSE 'paragraph' END AS source FROM lineitem),
+v AS (SELECT *, 'flag' AS field, nullif(l_returnflag, 'N') AS value FROM f UNION ALL SELECT *, 'line', CASE WHEN l_linenumber < 7 THEN l_linenumber::VARCHAR ELSE 'unknown' END FROM f UNION ALL SELECT *, 'status', l_linestatus FROM f),
+g AS (SELECT l_suppkey, field, value, count(DISTINCT fact)::BIGINT AS fact_count, count(DISTINCT evidence)::BIGINT AS evidence_count, bool_or(source = 'fact_explicit') AS explicit, bool_or(source LIKE 'doc_profile%') AS profile
+  FROM v WHERE value IS NOT NULL AND value NOT IN ('', 'unknown') GROUP BY 1, 2, 3),
+w AS (SELECT *, 0.55 + least(0.25, 0.05 * fact_count) + least(0.15, 0.05 * evidence_count) + CASE WHEN explicit THEN 0.05 ELSE 0 END AS raw FROM g),
+r AS (SELECT l_suppkey, field, value, fact_count, evidence_count, explicit, profile, CAST(round(greatest(0.0, least(0.95, CASE WHEN profile THEN least(raw, 0.8) ELSE raw END)), 3) AS DOUBLE) AS confidence,
+  row_number() OVER (PARTITION BY l_suppkey, field ORDER BY fact_count DESC, value)::INTEGER AS place FROM w)"""
+
+
+def _supplier_facts(t):
+    source = F.when(F.col("l_returnflag") == "A", "fact_explicit").when(F.col("l_returnflag") == "R", "doc_profile:terms").otherwise("paragraph")
+    rows = t.lineitem.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact"), F.col("l_orderkey").alias("evidence"), "l_returnflag", "l_linestatus", "l_linenumber", source.alias("source"))
+    fields = {
+        "flag": F.array(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))), "status": F.array("l_linestatus"),
+        "line": F.array(F.when(F.col("l_linenumber") < 7, F.col("l_linenumber").cast("string")).otherwise("unknown")),
+    }
+    return rows, project.field_records(rows, "l_suppkey", "fact", "evidence", fields, F.col("source"))
+
+
+@query(f"WITH {_RECORDS} SELECT * FROM r")
+def field_records(t):
+    """AGG-12: the values of each field."""
+    return _supplier_facts(t)[1]
+
+
+@query(f"""WITH {_RECORDS},
+q AS (SELECT l_suppkey, count(DISTINCT fact)::BIGINT AS fact_count, count(DISTINCT evidence)::BIGINT AS evidence_count, round(avg(c), 3) AS mean_confidence, round(min(c), 3) AS min_confidence, count(*) FILTER (c < 0.85)::BIGINT AS n_low,
+  round(avg(c) FILTER (l_returnflag <> 'N'), 3) AS mean_binding, round(min(c) FILTER (l_returnflag <> 'N'), 3) AS min_binding, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) WHEN min(l_linestatus) IS NOT NULL THEN 'mixed' END AS resolution_status FROM f GROUP BY 1),
+n AS (SELECT l_suppkey, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (place = 2), '') AS conflicts, count(DISTINCT field) FILTER (place = 2)::INTEGER AS conflict_count,
+  max(value) FILTER (field = 'flag' AND place = 1) AS top, max(fact_count) FILTER (field = 'flag' AND place = 1) AS a, max(fact_count) FILTER (field = 'flag' AND place = 2) AS b FROM r GROUP BY 1)
+SELECT q.*, coalesce(conflicts, '') AS conflicts, coalesce(conflict_count, 0) AS conflict_count, CASE WHEN b IS NULL OR a >= greatest(2, b * 2) THEN top END AS primary_flag FROM q LEFT JOIN n USING (l_suppkey)""")
+def context_quality(t):
+    """AGG-12: counts, confidences, conflicts and primary values."""
+    rows, records = _supplier_facts(t)
+    sure = 1 - (F.col("l_linenumber") % 8) / 16.0
+    return project.context_quality(rows, "l_suppkey", "fact", "evidence", sure, F.when(F.col("l_returnflag") != "N", sure), F.col("l_linestatus"), records, ["flag"])
+
+
 @query("""WITH c AS (SELECT l_orderkey, l_returnflag AS value, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS place, lead(n) OVER w AS second FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY n DESC, value))
 SELECT l_orderkey, CASE WHEN second IS NULL OR n >= greatest(2, second * 2) THEN value END AS primary_value, value AS top_value, n AS top_count, second FROM r WHERE place = 1""")
 def primary_values(t):

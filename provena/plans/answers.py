@@ -247,3 +247,15 @@ def section_types(t):
     rows = t.conversations.join(last, "conv_id")
     kind = documents.section_type(F.col("turn"), F.col("last"), F.col("text"), [("legal", "(?i)license", 1, None), ("abstract", "(?i)abstract", None, None)])
     return rows.select("conv_id", "turn", kind.alias("section"))
+
+
+_LIVE = "CASE lang WHEN 'en' THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 'de' THEN text || ' ' ELSE text END"
+
+
+@query(f"""WITH c AS (SELECT doc_id, coalesce(text, '') AS b FROM documents), l AS (SELECT doc_id, coalesce({_LIVE}, '') AS b FROM documents WHERE n_chars >= 100),
+j AS (SELECT doc_id, c.b AS a, l.b AS b FROM c FULL JOIN l USING (doc_id))
+SELECT doc_id, sha256(a) AS candidate_sha256, sha256(b) AS live_sha256, coalesce(replace(a, chr(13) || chr(10), chr(10)) = replace(b, chr(13) || chr(10), chr(10)), false) AS newlines_only FROM j WHERE a IS DISTINCT FROM b""")
+def release_parity(t):
+    """QA-11: the texts of a candidate against those of a live copy whose line ends, texts or rows differ."""
+    live = t.documents.where("n_chars >= 100").select("doc_id", F.expr(_LIVE).alias("text"))
+    return audit.inventory_differences(t.documents, live, "doc_id", "text")

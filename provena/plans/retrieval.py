@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provena.operators import audit
 from provena.operators import retrieve as R
 from provena.plans.registry import query
 
@@ -209,3 +210,13 @@ def latest_cursor(t):
     """Survey 2.10: the latest valid cursor of a conversation."""
     rows = t.conversations.where("role = 'user'")
     return rows.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.md5(F.max_by("text", "turn").cast("binary")).alias("text"), F.count(F.lit(1)).alias("turns"))
+
+
+@query(f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, object_id)::INTEGER AS position FROM p),
+g AS (SELECT CAST((position - 1) // 10 AS INTEGER) AS page, object_id, position FROM r WHERE position <= 20),
+s AS (SELECT page, count(*)::BIGINT AS n, count(DISTINCT object_id)::BIGINT AS n_ids, (min(position) - 1)::BIGINT AS offset_, count(*) FILTER (object_id IN (SELECT object_id FROM g GROUP BY 1 HAVING count(DISTINCT page) > 1))::BIGINT AS n_shared FROM g GROUP BY 1)
+SELECT page, n, n_ids, offset_ AS "offset", n_shared, n = 10 AND n_ids = 10 AND offset_ = page * 10 AND n_shared = 0 AS ok FROM s""")
+def release_pages(t):
+    """QA-11: two pages of ten are full, distinct and in place."""
+    pages = [R.page(_pool(t), at, 10, [F.desc("score"), F.col("object_id")]) for at in (0, 10)]
+    return audit.page_gates(pages, "object_id", "position", 10)

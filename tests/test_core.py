@@ -182,6 +182,8 @@ def test_scopes_are_tables(spark):
     for scope in (["d1", "d2", "d1"], spark.createDataFrame([("d1",), ("d2",)], "x string")):
         assert sorted(r.k for r in filters.in_scope(rows, "doc", scope, "own").collect()) == [1, 3]
     assert filters.in_scope(rows, "doc", []).count() == 0
+    plan = filters.in_scope(rows, "doc", ["d1"], "own")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_batches_keep_groups_whole(spark):
@@ -196,3 +198,30 @@ def test_scratch_tables_are_released(spark):
     kept = runtime.materialise(spark.range(5), "scratch")
     assert kept.count() == 5 and runtime.release(spark) >= 1
     assert runtime.release(spark) == 0
+
+
+def test_inventories_and_pages_of_a_release(spark):
+    from provena.operators import audit
+
+    candidate = spark.createDataFrame([("a", "x\n"), ("b", "x\r\ny"), ("c", "z"), ("e", None), ("f", None)], "name string, body string")
+    live = spark.createDataFrame([("a", "x\n"), ("b", "x\ny"), ("c", "Z"), ("d", "w"), ("f", "")], "name string, body string")
+    got = {r["name"]: (r.candidate_sha256 is None, r.live_sha256 is None, r.newlines_only) for r in audit.inventory_differences(candidate, live, "name", "body").collect()}
+    assert got == {"b": (False, False, True), "c": (False, False, False), "d": (True, False, False), "e": (False, True, False)}
+    assert audit.inventory_differences(candidate, candidate, "name", "body").count() == 0
+    page = lambda ids, at: spark.createDataFrame([(i, at + k) for k, i in enumerate(ids, 1)], "id string, position int")
+    good = audit.page_gates([page("ab", 0), page("cd", 2)], "id", "position", 2)
+    assert [r.ok for r in good.collect()] == [True, True]
+    for pages in ([page("ab", 0), page("bc", 2)], [page("ab", 0), page("cd", 3)], [page("aa", 0), page("cd", 2)], [page("ab", 0), page("c", 2)]):
+        assert not all(r.ok for r in audit.page_gates(pages, "id", "position", 2).collect())
+
+
+def test_context_without_values_has_no_conflicts(spark):
+    from provena.operators import project
+
+    facts = spark.createDataFrame([(1, 1, 1, "a", "x"), (1, 1, 1, "a", "x"), (1, 2, 1, "b", "x"), (2, 3, 2, None, None), (3, 4, 3, "unknown", ""), (4, 5, 4, "a", "x"), (4, 6, 4, "a", "y")], "k int, fact int, evidence int, v string, state string")
+    records = project.field_records(facts, "k", "fact", "evidence", {"f": F.array("v")}, F.lit("fact_explicit"))
+    assert sorted((r.k, r.value, r.fact_count, r.place) for r in records.collect()) == [(1, "a", 1, 1), (1, "b", 1, 2), (4, "a", 2, 1)]
+    got = project.context_quality(facts, "k", "fact", "evidence", F.lit(None).cast("double"), F.lit(0.5), F.col("state"), records, ["f"]).collect()
+    assert sorted((r.k, r.fact_count, r.n_low, r.mean_confidence, r.resolution_status, r.conflicts, r.conflict_count, r.primary_f) for r in got) == [
+        (1, 2, 0, None, "x", "f", 1, None), (2, 1, 0, None, None, "", 0, None), (3, 1, 0, None, None, "", 0, None), (4, 2, 0, None, "mixed", "", 0, "a"),
+    ]
