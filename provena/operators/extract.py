@@ -50,15 +50,18 @@ def example_id(text: Column) -> Column:
             got_id = F.concat(F.lit(prefix), got)
         out = F.when(value.rlike(pattern), got_id) if out is None else out.when(value.rlike(pattern), got_id)
     fixes = F.create_map(*[F.lit(x) for kv in EXAMPLE_FIXES.items() for x in kv])
-    return F.coalesce(F.element_at(fixes, out), out)
+    return F.get(F.transform(F.array(out), lambda v: F.coalesce(F.element_at(fixes, v), v)), F.lit(0))  # the rules are applied once
 
 
 def example_chain(candidates: Sequence[tuple[str, Column]]) -> tuple[Column, Column]:
     """(example, which candidate gave it): the first that names one; a bare number counts last, as E<n> (PRJ-15)."""
-    named = [(n, example_id(c)) for n, c in candidates]
-    bare = [(n + "_digit", F.when(F.trim(c).rlike(r"^\d+$"), F.concat(F.lit("E"), F.trim(c)))) for n, c in candidates]
-    every = named + bare
-    return F.coalesce(*(c for _, c in every)), F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in every))
+    given = F.array(*(F.struct(F.lit(n).alias("source"), F.trim(c).alias("label")) for n, c in candidates))
+    # the rules stand in the plan once, not once a candidate, or the code made of them grows beyond what a method may hold
+    named = F.transform(given, lambda r: F.struct(example_id(r["label"]).alias("example"), r["source"].alias("source")))
+    digits = lambda r: F.when(r["label"].rlike(r"^\d+$"), F.concat(F.lit("E"), r["label"]))
+    bare = F.transform(given, lambda r: F.struct(digits(r).alias("example"), F.concat(r["source"], F.lit("_digit")).alias("source")))
+    first = F.get(F.filter(F.concat(named, bare), lambda r: r["example"].isNotNull()), F.lit(0))
+    return first["example"], first["source"]
 
 
 def unit_route(described: Column, description: Column, entities: Column, kind: Column, subject: Column, *, figures: Sequence[str], extract: Sequence[str], register: Sequence[str], drop: Sequence[str], least: int = 30) -> Column:

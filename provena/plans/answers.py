@@ -224,13 +224,13 @@ def pack_union(t):
 
 @query("""SELECT 'dangling' AS section, 'HAS_PART' AS name, count(*) FILTER (p_partkey IS NULL)::DOUBLE AS value FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey AND p_size < 40
 UNION ALL SELECT 'validation', coalesce(CASE WHEN l_returnflag != 'N' THEN l_returnflag END, '(none)'), count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'proposed', 'rate', round(avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END), 4) FROM lineitem
-UNION ALL SELECT 'conflicts', 'all', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1) UNION ALL SELECT 'missing_refs', 'all', count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 > 0))""")
+UNION ALL SELECT 'conflicts', 'all', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1) UNION ALL SELECT 'missing_refs', 'all', count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 1000))""")
 def kg_summary(t):
     """AGG-17: dangling edges, histogram, proposed rate, conflicts, missing references."""
     edges = t.lineitem.select(F.col("l_orderkey").alias("src"), F.lit("HAS_PART").alias("edge_type"), F.col("l_partkey").alias("dst")).distinct()
     facts = t.lineitem.withColumn("state", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
     odd = S.conflicts(t.lineitem, ["l_orderkey", "l_linenumber"], F.col("l_partkey"))
-    lost = resolve.unresolved(t.lineitem.select("l_suppkey").distinct(), t.supplier.where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("l_suppkey")), ["l_suppkey"])
+    lost = resolve.unresolved(t.lineitem.select("l_suppkey").distinct(), t.supplier.where("s_acctbal > 1000").select(F.col("s_suppkey").alias("l_suppkey")), ["l_suppkey"])
     return audit.kg_summary(facts, edges, t.part.where("p_size < 40").select(F.col("p_partkey").alias("node")), odd, "state", F.col("l_discount") > 0.05, lost)
 
 

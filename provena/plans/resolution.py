@@ -58,14 +58,14 @@ def doc_key_join(t):
     return left.join(right.distinct(), "doc_key", "left_semi").select("o_orderkey", "doc_key")
 
 
-@query("""WITH c AS (SELECT o_orderkey AS obj, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P'), r AS (SELECT o_orderkey AS obj, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0),
+@query("""WITH c AS (SELECT o_orderkey AS obj, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P'), r AS (SELECT o_orderkey AS obj, o_custkey, o_orderpriority FROM orders WHERE o_totalprice < 170000),
 u AS (SELECT o_custkey, o_orderpriority, min(obj) AS row_id FROM r GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT c.obj, c.o_custkey, c.o_orderpriority, c.obj AS row_id, 'exact' AS bound_by FROM c JOIN r USING (obj)
 UNION ALL SELECT c.obj, c.o_custkey, c.o_orderpriority, row_id, 'legacy' FROM c JOIN u USING (o_custkey, o_orderpriority) WHERE c.obj NOT IN (SELECT obj FROM r)""")
 def cohort_binding(t):
     """JOIN-09: exact id, else a legacy key that only one row has."""
     cols = [F.col("o_orderkey").alias("obj"), "o_custkey", "o_orderpriority"]
-    return resolve.bind(t.orders.where("o_orderstatus = 'P'").select(*cols), t.orders.where("o_orderkey % 3 = 0").select(*cols), "obj", ["o_custkey", "o_orderpriority"])
+    return resolve.bind(t.orders.where("o_orderstatus = 'P'").select(*cols), t.orders.where("o_totalprice < 170000").select(*cols), "obj", ["o_custkey", "o_orderpriority"])
 
 
 @query("""SELECT DISTINCT o_orderkey, p_partkey FROM orders, part WHERE o_orderkey = p_partkey OR o_custkey = p_partkey OR o_custkey = p_size * 10""")
@@ -179,12 +179,12 @@ def pair_conflict(t):
     return S.pair_conflicts(must, t.part.where("p_size > 46").select(F.col("p_type").alias("a"), F.upper("p_brand").alias("b")))
 
 
-@query("""SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 7 != 0 UNION ALL SELECT o_orderkey, o_totalprice * 2, 'U' FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey + 100000000, o_totalprice, 'I' FROM orders WHERE o_orderkey % 11 = 0""")
+@query("""SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus != 'F' UNION ALL SELECT o_orderkey, o_totalprice * 2, 'U' FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey + 100000000, o_totalprice, 'I' FROM orders WHERE o_totalprice > 400000""")
 def upsert_merge(t):
     """SNK-04, SNK-05: replaced and new rows."""
     old = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
-    changed = old.where("o_orderkey % 7 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("U").alias("o_orderstatus"))
-    added = old.where("o_orderkey % 11 = 0").select((F.col("o_orderkey") + 100000000).alias("o_orderkey"), "o_totalprice", F.lit("I").alias("o_orderstatus"))
+    changed = old.where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("U").alias("o_orderstatus"))
+    added = old.where("o_totalprice > 400000").select((F.col("o_orderkey") + 100000000).alias("o_orderkey"), "o_totalprice", F.lit("I").alias("o_orderstatus"))
     return S.upsert(old, changed.unionAll(added), ["o_orderkey"])
 
 

@@ -63,13 +63,13 @@ def append_log(t):
     return t.spark.read.schema(rows.schema).json(path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey, c_mktsegment AS collection_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END AS balance FROM customer WHERE c_mktsegment != 'BUILDING' OR c_custkey % 2 = 0")
+@query("SELECT c_custkey, c_mktsegment AS collection_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END AS balance FROM customer WHERE c_mktsegment != 'BUILDING' OR c_acctbal > 4000")
 def collection_replace(t):
     """SNK-06: one collection is replaced, the others stay."""
     path = scratch_path(t.spark, "collections")
     rows = t.customer.select("c_custkey", F.col("c_mktsegment").alias("collection_id"), F.col("c_acctbal").alias("balance"))
     sinks.replace_collection(rows, path)
-    sinks.replace_collection(rows.where("collection_id = 'BUILDING' AND c_custkey % 2 = 0").withColumn("balance", F.lit(0).cast("double")), path)
+    sinks.replace_collection(rows.where("collection_id = 'BUILDING' AND balance > 4000").withColumn("balance", F.lit(0).cast("double")), path)
     return t.spark.read.parquet(path).select("c_custkey", "collection_id", "balance")
 
 
@@ -80,14 +80,14 @@ def manifest_sink(t):
     return sinks.write_manifest(t.spark, scratch_path(t.spark, "manifest"), {"nation": t.nation, "orders": t.orders}, edges)
 
 
-@query("""SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders WHERE o_orderkey % 3 != 0 UNION ALL SELECT o_orderkey, -1.0 FROM orders WHERE o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey, o_totalprice::DOUBLE AS price FROM orders WHERE o_totalprice >= 170000 UNION ALL SELECT o_orderkey, -1.0 FROM orders WHERE o_totalprice < 170000""")
 def merged_table(t):
     """SNK-04: two merges by key into a stored table; the better row by an order stays."""
     path = scratch_path(t.spark, "merged")
     old = t.orders.select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.lit(1).alias("at"))
     sinks.merge_table(old, path, ["o_orderkey"], [F.desc("at"), "price"])
-    sinks.merge_table(old.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(-1.0).alias("price"), F.lit(2).alias("at")), path, ["o_orderkey"], [F.desc("at"), "price"])
-    sinks.merge_table(old.where("o_orderkey % 6 = 0").select("o_orderkey", F.lit(-9.0).alias("price"), F.lit(0).alias("at")), path, ["o_orderkey"], [F.desc("at"), "price"])
+    sinks.merge_table(old.where("price < 170000").select("o_orderkey", F.lit(-1.0).alias("price"), F.lit(2).alias("at")), path, ["o_orderkey"], [F.desc("at"), "price"])
+    sinks.merge_table(old.where("price < 80000").select("o_orderkey", F.lit(-9.0).alias("price"), F.lit(0).alias("at")), path, ["o_orderkey"], [F.desc("at"), "price"])
     return sinks.read_table(t.spark, path).select("o_orderkey", "price")
 
 
