@@ -29,3 +29,11 @@ def test_mentions_finds_aliases_of_any_length(spark):
     got = {tuple(r) for r in resolve.mentions(texts, "doc_id", "text", aliases).collect()}
     assert got == {(1, "C1", "cold rolled low carbon steel"), (1, "C2", "sheet of cold rolled"), (1, "C3", "steel"), (2, "C1", "low carbon")}
     assert resolve.mentions(texts, "doc_id", "text", aliases.limit(0)).count() == 0
+
+
+def test_answer_validation_with_more_than_9999_samples_in_a_packet(spark, tmp_path):
+    spark.range(10_020).selectExpr("id AS l_orderkey", "id * 77 + 1 AS l_partkey", "id * 40 AS l_suppkey", "1 AS l_linenumber").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert con.sql(registry.oracle_sql()["answer_validation"]).fetchall() == [(0, "answer_sample_identity")]
+    assert registry.queries()["answer_validation"](spark, str(tmp_path)).collect() == [(0, "answer_sample_identity")]
