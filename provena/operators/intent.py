@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +58,11 @@ def has_any(text: Column, words: Sequence[str]) -> Column:
     return out
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def facets(question: Column) -> dict[str, Column]:
     """Arrays of values by facet; each value once, in the order of the rules (PRJ-23)."""
     low = F.lower(F.coalesce(question, F.lit("")))
@@ -97,23 +102,31 @@ def comparisons(question: Column) -> Column:
     measure; a measure without one, or of another kind than the question's, goes.
     Values are hours or micrometres.
     """
-    text = F.translate(F.lower(F.coalesce(question, F.lit(""))), "_-", "  ")
-    asked = F.when(has_any(text, SALT_QUERY), "duration_hours").when(has_any(text, THICKNESS_QUERY), "film_thickness_um")
-    part = lambda k: F.regexp_extract_all(text, F.lit(MEASURE), F.lit(k))
-    whole, gaps = part(0), F.split(text, MEASURE, -1)
-
-    def at(m: Column, i: Column) -> Column:
-        done = F.concat(F.slice(whole, F.lit(1), i), F.array(F.lit("")))
-        before = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), i + 1), done, lambda a, b: F.concat(a, b)), "")
-        after = F.substr(text, F.length(before) + F.length(m) + 1, F.lit(WINDOW))
-        near = F.concat(F.right(before, F.lit(WINDOW)), F.lit(" "), after)
+    scale = lambda u: F.coalesce(factor(u, HOURS), factor(u, MICROMETRES))
+
+    def sign(near: Column) -> Column:
         less, more = (F.when(has_any(near, OR_EQUAL[a]), a).otherwise(b) for a, b in (("le", "lt"), ("ge", "gt")))
         return F.when(has_any(near, LESS), less).when(has_any(near, MORE), more)
 
-    rows = F.arrays_zip(part(1).alias("value"), part(2).alias("unit"), F.transform(whole, at).alias("op"))
-    scale = lambda u: F.coalesce(factor(u, HOURS), factor(u, MICROMETRES))
-    found = F.transform(rows, lambda r: F.struct(kind_of_unit(r["unit"]).alias("kind"), r["op"].alias("op"), (r["value"].cast("double") * scale(r["unit"])).alias("value")))
-    return F.filter(found, lambda r: r["op"].isNotNull() & r["kind"].isNotNull() & (asked.isNull() | (r["kind"] == asked)))
+    def split(text: Column) -> Column:
+        part = lambda k: F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?){MEASURE}"), F.lit(k))
+        asked = F.when(has_any(text, SALT_QUERY), "duration_hours").when(has_any(text, THICKNESS_QUERY), "film_thickness_um")
+        return F.struct(text.alias("text"), asked.alias("asked"), part(0).alias("upto"), part(1).alias("gaps"), part(2).alias("values"), part(3).alias("units"))
+
+    def read(s: Column) -> Column:
+        text, asked = s["text"], s["asked"]
+
+        def at(gap: Column, i: Column) -> Column:
+            """The operator beside the i-th measure, which ends where its stretch of text ends, and begins behind the gap."""
+            start = F.aggregate(F.slice(s["upto"], F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)) + F.length(gap)
+            around = lambda n: F.concat(F.substr(text, F.greatest(n - WINDOW, F.lit(0)) + 1, F.least(n, F.lit(WINDOW))), F.lit(" "), F.substr(text, n + F.length(F.get(s["upto"], i)) - F.length(gap) + 1, F.lit(WINDOW)))
+            return once(once(start, around), sign)
+
+        rows = F.arrays_zip(s["values"].alias("value"), s["units"].alias("unit"), F.transform(s["gaps"], at).alias("op"))
+        found = F.transform(rows, lambda r: F.struct(kind_of_unit(r["unit"]).alias("kind"), r["op"].alias("op"), (r["value"].cast("double") * scale(r["unit"])).alias("value")))
+        return F.filter(found, lambda r: r["op"].isNotNull() & r["kind"].isNotNull() & (asked.isNull() | (r["kind"] == asked)))
+
+    return once(once(F.translate(F.lower(F.coalesce(question, F.lit(""))), "_-", "  "), split), read)
 
 
 def salt_durations(text: Column) -> Column:

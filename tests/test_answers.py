@@ -21,6 +21,13 @@ def test_comparisons_read_the_words_around(spark):
     assert [got[k] for k in range(len(want))] == list(want.values())
 
 
+def test_comparisons_work_each_part_out_once(spark):
+    text = "5 kg,\n" + "more than 3 d; 7 hx " + "of any kind " * 4 + "7 h\n\nunder 2 wk"
+    rows = spark.createDataFrame([(text,)], "q string").select(intent.comparisons(F.col("q")).alias("c"))
+    assert [tuple(c) for c in rows.first()["c"]] == [("duration_hours", "gt", 72.0), ("duration_hours", "lt", 7.0), ("duration_hours", "lt", 336.0)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 4
+
+
 def test_thickness_only_from_film_fields(spark):
     rows = spark.createDataFrame([("75 µm, 3 mils",), ("60",), (None,)], "v string")
     got = lambda path: [r[0] for r in rows.select(F.transform(intent.thickness_um(path, F.col("v")), lambda x: F.round(x, 3))).collect()]
