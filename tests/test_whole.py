@@ -1,9 +1,12 @@
 """Queries on small tables made for what a cut would lose."""
 
+import random
+
 import duckdb
+import pytest
 
-from provena.operators import resolve
-from provena.plans import registry
+from provena.operators import resolve, retrieve
+from provena.plans import evaluation, registry
 
 
 def test_golden_targets_finds_passages_without_whole_first_words(spark, tmp_path):
@@ -37,3 +40,28 @@ def test_answer_validation_with_more_than_9999_samples_in_a_packet(spark, tmp_pa
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert con.sql(registry.oracle_sql()["answer_validation"]).fetchall() == [(0, "answer_sample_identity")]
     assert registry.queries()["answer_validation"](spark, str(tmp_path)).collect() == [(0, "answer_sample_identity")]
+
+
+@pytest.mark.parametrize("bonus", [0.0, 0.05])
+def test_nearest_over_several_blocks_is_whole(spark, monkeypatch, bonus):
+    for name, n in (("QUERY_BLOCK", 7), ("OBJECT_BLOCK", 16), ("STRIP", 3)):
+        monkeypatch.setattr(retrieve, name, n)
+    draw = random.Random(4)
+    vectors = [[draw.uniform(-1, 1) for _ in range(5)] for _ in range(40)]
+    rows = [(k, draw.choice([0, 1, 2, None]), vectors[k % 40 if k < 60 else 0]) for k in range(120)] + [(120, 1, None)]  # 60 copies of one
+    table = spark.createDataFrame(rows, "object_id long, label int, embedding array<float>")
+    rows = [tuple(r) for r in table.collect()]
+    queries = table.where("object_id % 8 = 0").selectExpr("object_id AS query_id", "label AS query_label", "embedding AS q")
+    got = {}
+    for r in retrieve.nearest(queries, table, 12, bonus).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.object_id, r.score))
+    assert set(got) == {k for k, _, _ in rows if k % 8 == 0}
+    for q, label, x in (r for r in rows if r[0] % 8 == 0):
+        score = {k: x and y and round(round(sum(a * b for a, b in zip(x, y, strict=True)), 6) + (bonus if m is not None and m == label else 0), 6) for k, m, y in rows if k != q}
+        best = sorted(score, key=lambda k: (score[k] is None, -(score[k] or 0), k))[:12]
+        assert sorted(got[q]) == [(n, k, score[k]) for n, k in enumerate(best, 1)]
+
+
+def test_targets_of_a_label_are_two_rows(spark, sf_dir):
+    t = registry.Tables(spark, sf_dir)
+    assert evaluation._targets(t).count() <= 2 * t.embeddings.where("vec_id % 20 = 0").count()
